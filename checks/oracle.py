@@ -6,7 +6,6 @@ maps and column expressions, so the two sides share no code.
 
 from __future__ import annotations
 
-from usagelake import fixed_values as fx
 
 # --- shared derivations ---------------------------------------------------------
 
@@ -649,4 +648,3 @@ ORACLE |= {
         {opt('100 * CAST(api_errors AS DOUBLE) / nullif(api_requests, 0)')} AS error_pct FROM t""",
 }
 
-assert fx.UNASSIGNED_LABEL in TEAM_OF

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, DoubleType, FloatType, IntegralType, TimestampType
 
-from checks import oracle
+from checks import oracle, oracle_ingest
+from checks.ingest_queries import PIPELINE
 from usagelake.lake import Lake
 from usagelake.operators.dimensions import membership_list
 from usagelake.operators.relational import scope
@@ -140,8 +141,8 @@ def _registered(build: Callable[[Lake], DataFrame]) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _registered(build) for name, build in ANALYTICS.items()}
+    return {name: _registered(build) for name, build in {**ANALYTICS, **PIPELINE}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracle.ORACLE)
+    return {**oracle.ORACLE, **oracle_ingest.SQL}

@@ -42,16 +42,37 @@ class Lake:
         return testdata.bronze_events(self.spark, self.sf_dir)
 
     def metrics(self) -> DataFrame:
-        return self._silver(
-            "metrics",
+        return self._written_once(
+            "silver-metrics",
             ("lineitem", "orders"),
             lambda: tables.silver_metrics(self.bronze_metrics()),
-            tables.METRIC_SORT,
+            lambda rows, path: tables.write_silver(rows, path, tables.METRIC_SORT),
         )
 
     def events(self) -> DataFrame:
-        return self._silver(
-            "events", ("events",), lambda: tables.silver_events(self.bronze_events()), tables.EVENT_SORT
+        return self._written_once(
+            "silver-events",
+            ("events",),
+            lambda: tables.silver_events(self.bronze_events()),
+            lambda rows, path: tables.write_silver(rows, path, tables.EVENT_SORT),
+        )
+
+    def metric_requests(self) -> DataFrame:
+        """Landed export requests: (ok, pk, value)."""
+        return self._written_once(
+            "metric-requests",
+            ("lineitem", "orders"),
+            lambda: testdata.metric_requests(self.spark, self.sf_dir),
+            lambda rows, path: rows.write.parquet(path),
+        )
+
+    def log_requests(self) -> DataFrame:
+        """Landed export requests: (i, value)."""
+        return self._written_once(
+            "log-requests",
+            ("events",),
+            lambda: testdata.log_requests(self.spark, self.sf_dir),
+            lambda rows, path: rows.write.parquet(path),
         )
 
     def membership(self) -> DataFrame:
@@ -77,16 +98,20 @@ class Lake:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         return f"{root}/{purpose}-{uuid.uuid4().hex}"
 
-    def _silver(
-        self, name: str, inputs: tuple[str, ...], build: Callable[[], DataFrame], sort: tuple[str, ...]
+    def _written_once(
+        self,
+        name: str,
+        inputs: tuple[str, ...],
+        build: Callable[[], DataFrame],
+        write: Callable[[DataFrame, str], None],
     ) -> DataFrame:
         if work_dir(self.spark) is None:
             return build()
         paths = tuple(f"{self.sf_dir}/{t}.parquet" for t in inputs)
         key = (self.spark.sparkContext.applicationId, name, paths, _state(self.spark, paths))
         if key not in _written:
-            path, rows = self.scratch(f"silver-{name}"), build()
-            tables.write_silver(rows, path, sort)
+            path, rows = self.scratch(name), build()
+            write(rows, path)
             _written[key] = path, rows.schema
         path, schema = _written[key]
         return self.spark.read.schema(schema).parquet(path)

@@ -65,6 +65,15 @@ def _is_rejected(column: str) -> Column:
     return not_object | broken
 
 
+def _accepted(column: str, groups: str) -> Column:
+    """The request's groups, NULL for a rejected body.
+
+    A CASE on the parsed column instead of a filter: a filter would be pushed
+    below the parse and repeat it.
+    """
+    return F.when(~_is_rejected(column), F.col(f"_request.{groups}"))
+
+
 def reject_malformed(bodies: DataFrame, column: str = "value", signal: str = "metrics") -> DataFrame:
     """Bodies with a boolean ``rejected`` column; filter it to split good from rejected."""
     schema = OTLP_METRICS if signal == "metrics" else OTLP_LOGS
@@ -80,8 +89,7 @@ def read_otlp_metrics(bodies: DataFrame, column: str = "value", keep: tuple[str,
     kept = [F.col(c) for c in keep]
     scopes = (
         _parsed(bodies, column, OTLP_METRICS)
-        .where(~_is_rejected(column))
-        .select(*kept, F.explode("_request.resourceMetrics").alias("rm"))
+        .select(*kept, F.explode(_accepted(column, "resourceMetrics")).alias("rm"))
         .select(*kept, F.col("rm.resource.attributes").alias("resource"), F.explode("rm.scopeMetrics").alias("sm"))
         .select(*kept, "resource", F.col("sm.scope").alias("scope"), F.explode("sm.metrics").alias("m"))
         .where(F.length("m.name") > 0)
@@ -136,8 +144,7 @@ def read_otlp_logs(bodies: DataFrame, column: str = "value", keep: tuple[str, ..
     kept = [F.col(c) for c in keep]
     records = (
         _parsed(bodies, column, OTLP_LOGS)
-        .where(~_is_rejected(column))
-        .select(*kept, F.explode("_request.resourceLogs").alias("rl"))
+        .select(*kept, F.explode(_accepted(column, "resourceLogs")).alias("rl"))
         .select(*kept, F.col("rl.resource.attributes").alias("resource"), F.explode("rl.scopeLogs").alias("sl"))
         .select(*kept, "resource", F.col("sl.scope").alias("scope"), F.explode("sl.logRecords").alias("lr"))
         .select(
