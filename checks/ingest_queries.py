@@ -429,17 +429,22 @@ def _poison(lake) -> DataFrame:
     )
 
 
-def _messages(lake) -> DataFrame:
-    return union_all(_metric_messages(lake), _event_messages(lake), _poison(lake))
-
-
-def _log(lake, messages: DataFrame) -> str:
-    """Messages written as the durable log a stream can read."""
+def _log(lake, *parts: DataFrame) -> str:
+    """Messages written as the durable log, which a stream or a batch can read."""
     path = lake.scratch("log")
-    messages.write.parquet(path)
+    for messages in parts:
+        messages.write.mode("append").parquet(path)
     return path
 
 
+def _full_log(lake) -> str:
+    return _log(lake, _metric_messages(lake), _event_messages(lake), _poison(lake))
+
+
+def _read_log(lake, path: str) -> DataFrame:
+    return lake.spark.read.schema(ingest.MESSAGE).parquet(path)
+
+
 def _finish(query) -> None:
     query.awaitTermination()
     if query.exception():
@@ -448,7 +453,7 @@ def _finish(query) -> None:
 
 def source_read(lake):
     out = lake.scratch("consumed")
-    stream = ingest.canonical_source(lake.spark, _log(lake, _messages(lake)))
+    stream = ingest.canonical_source(lake.spark, _full_log(lake))
     _finish(ingest.publish_stream(stream, out, lake.scratch("offsets")))
     return (
         lake.spark.read.schema(ingest.MESSAGE)
@@ -459,7 +464,7 @@ def source_read(lake):
 
 
 def by_topic(lake):
-    to_metrics, to_events = store.route_by_topic(_messages(lake))
+    to_metrics, to_events = store.route_by_topic(_read_log(lake, _full_log(lake)))
 
     def counted(rows, name):
         return rows.agg(F.count("*").alias("messages")).select(F.lit(name).alias("table_name"), "messages")
@@ -468,7 +473,7 @@ def by_topic(lake):
 
 
 def dead_letters(lake):
-    _, dead = store.dlq_split(_messages(lake))
+    _, dead = store.dlq_split(_read_log(lake, _log(lake, _event_messages(lake), _poison(lake))))
     fields = F.from_json("value", "sourceTopic STRING, error STRING, original STRING")
     return dead.withColumn("v", fields).select(
         "topic", "key", F.col("v.sourceTopic").alias("source_topic"), "v.error", "v.original"
@@ -507,7 +512,7 @@ def _store(lake, log: str, paths: store.StorePaths, checkpoint: str) -> None:
 
 def streamed_store(lake):
     paths = _paths(lake)
-    _store(lake, _log(lake, _messages(lake)), paths, lake.scratch("offsets"))
+    _store(lake, _full_log(lake), paths, lake.scratch("offsets"))
 
     def daily(path, name):
         rows = lake.spark.read.parquet(path)
@@ -523,7 +528,7 @@ def streamed_store(lake):
 def redelivered(lake):
     """The same batch stored twice, as after a crash between insert and commit."""
     paths = _paths(lake)
-    messages = lake.spark.read.schema(ingest.MESSAGE).parquet(_log(lake, _messages(lake)))
+    messages = _read_log(lake, _full_log(lake))
     store.store_batch(messages, paths)
     store.store_batch(messages, paths)
 
@@ -547,9 +552,8 @@ def redelivered(lake):
 def replayed(lake):
     """A log that holds every event twice: bronze keeps both, silver one."""
     paths = _paths(lake)
-    log = lake.scratch("log")
-    for _ in range(2):
-        _event_messages(lake).write.mode("append").parquet(log)
+    once = _event_messages(lake)
+    log = _log(lake, once, once)
     _store(lake, log, paths, lake.scratch("offsets"))
     bronze = lake.spark.read.parquet(paths.events)
     silver = replace.replace_events(bronze)
@@ -560,7 +564,7 @@ def replayed(lake):
 def late(lake):
     """The newer half arrives and is stored first; the older half still reaches its own days."""
     paths, checkpoint, log = _paths(lake), lake.scratch("offsets"), lake.scratch("log")
-    messages = _event_messages(lake)
+    messages = _read_log(lake, _log(lake, _event_messages(lake)))
     day = F.get_json_object("value", "$.ts_ns").cast("bigint")
     middle = 1_705_363_200_000_000_000  # 2024-01-16
     for half in (day >= middle, day < middle):

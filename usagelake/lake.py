@@ -30,6 +30,11 @@ def _state(spark: SparkSession, paths: tuple[str, ...]) -> tuple:
     return tuple(str(x) for x in row)
 
 
+def _land(rows: DataFrame, path: str) -> None:
+    """Write request bodies in files small enough to decode in parallel (JSON text compresses far below its size)."""
+    rows.write.option("maxRecordsPerFile", 50_000).parquet(path)
+
+
 class Lake:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = prepare(spark)
@@ -63,7 +68,7 @@ class Lake:
             "metric-requests",
             ("lineitem", "orders"),
             lambda: testdata.metric_requests(self.spark, self.sf_dir),
-            lambda rows, path: rows.write.parquet(path),
+            _land,
         )
 
     def log_requests(self) -> DataFrame:
@@ -72,7 +77,7 @@ class Lake:
             "log-requests",
             ("events",),
             lambda: testdata.log_requests(self.spark, self.sf_dir),
-            lambda rows, path: rows.write.parquet(path),
+            _land,
         )
 
     def membership(self) -> DataFrame:

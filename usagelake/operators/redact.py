@@ -43,8 +43,8 @@ class OrgPolicies:
     def deny_text(self, org: Column, text: Column) -> Column:
         return self._per_org(org, lambda terms: scan.scan_deny_list(text, terms))
 
-    def deny_hit(self, org: Column, text: Column) -> Column:
-        return self._per_org(org, lambda terms: scan.deny_list_hit(text, terms))
+    def deny_hit(self, org: Column, before: Column, after: Column) -> Column:
+        return self._per_org(org, lambda terms: scan.deny_list_hit(before, after, terms))
 
     def _per_org(self, org: Column, build) -> Column:
         shared = build(self.deny_list)
@@ -68,7 +68,7 @@ def redact_fields(events: DataFrame, policies: OrgPolicies) -> DataFrame:
 
     Replaces ``dims`` and ``staged_content`` and adds ``redaction_flags``: the
     distinct flags in the order the scanners raise them. Each regular expression
-    runs once per text; a flag is "the scanner changed the text".
+    runs once per text.
     """
 
     def tagged(map_name: str, staged: bool) -> Column:
@@ -77,45 +77,46 @@ def redact_fields(events: DataFrame, policies: OrgPolicies) -> DataFrame:
             lambda e: F.struct(F.lit(staged).alias("staged"), e["key"].alias("key"), e["value"].alias("text")),
         )
 
-    frame = events.withColumn("_e", F.concat(tagged("dims", False), tagged("staged_content", True)))
-    carried: list[str] = []
+    frame = events.withColumns(
+        {
+            "_staged": F.size("staged_content") > 0,
+            "_e": F.concat(tagged("dims", False), tagged("staged_content", True)),
+        }
+    )
+    org = F.col("org_id")
+
+    def changed(before: Column, after: Column) -> Column:
+        return before != after
+
     scanners = (
-        (fx.FLAG_SECRET, scan.scan_secrets),
-        (fx.FLAG_EMAIL, scan.scan_email),
-        (fx.FLAG_IP, scan.scan_ip),
-        (fx.FLAG_PATH, scan.scan_paths),
+        (fx.FLAG_SECRET, scan.scan_secrets, changed),
+        (fx.FLAG_EMAIL, scan.scan_email, changed),
+        (fx.FLAG_IP, scan.scan_ip, changed),
+        (fx.FLAG_PATH, scan.scan_paths, changed),
+        (
+            fx.FLAG_DENY,
+            lambda text: policies.deny_text(org, text),
+            lambda before, after: policies.deny_hit(org, before, after),
+        ),
     )
-    for flag, scanner in scanners:
-        before = list(carried)
-        frame = frame.withColumn(
-            "_e",
-            _step(
-                F.col("_e"),
-                lambda e, s=scanner, b=before: (
-                    *[e[n].alias(n) for n in b], e["text"].alias("was"), s(e["text"]).alias("text"),
-                ),
-            ),
-        ).withColumn(
-            "_e",
-            _step(
-                F.col("_e"),
-                lambda e, f=flag, b=before: (
-                    *[e[n].alias(n) for n in b], (e["was"] != e["text"]).alias(f), e["text"].alias("text"),
-                ),
+    carried: list[str] = []
+    for flag, scanner, fired in scanners:
+        known = tuple(carried)
+        # Two steps, so that the scanner runs once although its result is used twice.
+        scanned = _step(
+            F.col("_e"),
+            lambda e, s=scanner, k=known: (
+                *[e[n].alias(n) for n in k], e["text"].alias("was"), s(e["text"]).alias("text"),
             ),
         )
-        carried.append(flag)
-    frame = frame.withColumn(
-        "_e",
-        _step(
+        flagged = _step(
             F.col("_e"),
-            lambda e: (
-                *[e[n].alias(n) for n in carried],
-                policies.deny_hit(F.col("org_id"), e["text"]).alias(fx.FLAG_DENY),
-                policies.deny_text(F.col("org_id"), e["text"]).alias("text"),
+            lambda e, f=fired, n=flag, k=known: (
+                *[e[x].alias(x) for x in k], f(e["was"], e["text"]).alias(n), e["text"].alias("text"),
             ),
-        ),
-    )
+        )
+        frame = frame.withColumn("_e", scanned).withColumn("_e", flagged)
+        carried.append(flag)
     entries = F.col("_e")
 
     def raised(flag: str) -> Column:
@@ -151,7 +152,8 @@ def field_policy(
     events: DataFrame, policies: OrgPolicies, master_key: bytes | None = None, key_info: str = "content"
 ) -> DataFrame:
     """Encrypt staged content of opted-in organizations, drop all other; ``staged_content`` is always removed."""
-    staged = F.size("staged_content") > 0
+    # Known before the scanners run, so a filter on the outcome does not repeat them.
+    staged = F.col("_staged") if "_staged" in events.columns else F.size("staged_content") > 0
     empty = F.create_map().cast("map<string,string>")
     if policies.capture_orgs:
         if master_key is None:
@@ -177,7 +179,7 @@ def field_policy(
             "content_keyid": key_name,
             "content_fields": fields,
         }
-    ).drop("staged_content", "_key", "_key_id")
+    ).drop("staged_content", "_staged", "_key", "_key_id")
 
 
 def redact_events(

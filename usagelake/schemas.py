@@ -74,7 +74,7 @@ def hot_column(prefix: str, key: str) -> str:
 # OTLP/JSON. Leaf values are read as text because integers may arrive as strings or
 # numbers; values nest to a fixed depth because a Spark schema cannot recurse, and
 # what lies deeper stays JSON text.
-ANY_VALUE_DEPTH = 3
+ANY_VALUE_DEPTH = 2
 
 
 def any_value(depth: int = ANY_VALUE_DEPTH) -> str:
