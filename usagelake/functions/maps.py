@@ -51,8 +51,18 @@ def count_if(condition: Column) -> Column:
     return F.count_if(F.coalesce(condition, F.lit(False)))
 
 
+def total_of(value: Column) -> Column:
+    """Sum of doubles, 0 when empty.
+
+    Whole and fractional parts are summed apart: whole parts add exactly, so the
+    result hardly depends on the order in which partial sums meet.
+    """
+    whole = F.floor(value).cast("double")
+    return zero(F.sum(whole) + F.sum(value - whole))
+
+
 def sum_if(value: Column, condition: Column) -> Column:
-    return zero(F.sum(F.when(condition, value)))
+    return total_of(F.when(condition, value))
 
 
 def rate(part: Column, whole: Column) -> Column:

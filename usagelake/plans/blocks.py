@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelake import fixed_values as fx
-from usagelake.functions.maps import attribute, count_if, day_text, dim, label, number, rate, zero
+from usagelake.functions.maps import attribute, count_if, day_text, dim, label, number, rate, total_of, zero
 from usagelake.operators.relational import descending, top_n
 
 
@@ -24,7 +24,7 @@ def event(e: DataFrame, kind: str) -> DataFrame:
 
 def sum_by(rows: DataFrame, key: Column, key_name: str, value_name: str, missing: str | None = None) -> DataFrame:
     """Sum of metric values per key, greatest first; '' is shown as ``missing``."""
-    grouped = rows.groupBy(key.alias(key_name)).agg(zero(F.sum("value")).alias(value_name))
+    grouped = rows.groupBy(key.alias(key_name)).agg(total_of(F.col("value")).alias(value_name))
     if missing is not None:
         grouped = grouped.withColumn(key_name, label(F.col(key_name), missing))
     return descending(grouped, value_name, key_name)
@@ -33,14 +33,14 @@ def sum_by(rows: DataFrame, key: Column, key_name: str, value_name: str, missing
 def sum_by_day(rows: DataFrame, value_name: str) -> DataFrame:
     return (
         rows.groupBy("event_date")
-        .agg(zero(F.sum("value")).alias(value_name))
+        .agg(total_of(F.col("value")).alias(value_name))
         .orderBy("event_date")
         .select(day_text(F.col("event_date")).alias("day"), value_name)
     )
 
 
 def total(rows: DataFrame, value_name: str) -> DataFrame:
-    return rows.agg(zero(F.sum("value")).alias(value_name))
+    return rows.agg(total_of(F.col("value")).alias(value_name))
 
 
 def count_by(
@@ -89,7 +89,7 @@ def hourly_activity(e: DataFrame) -> DataFrame:
     rows = event(e, "api_request")
     return (
         rows.groupBy(F.hour("timestamp").alias("hour"))
-        .agg(F.count("*").alias("requests"), zero(F.sum(number(rows, "cost_usd"))).alias("cost"))
+        .agg(F.count("*").alias("requests"), total_of(number(rows, "cost_usd")).alias("cost"))
         .orderBy("hour")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelake import fixed_values as fx
-from usagelake.functions.maps import count_if, day_text, dim, label, number, zero
+from usagelake.functions.maps import count_if, day_text, dim, label, number, total_of, zero
 from usagelake.operators.relational import descending, latest, top_n
 from usagelake.plans import blocks as b
 
@@ -51,7 +51,7 @@ def hooks_by_event(e) -> DataFrame:
     rows = b.event(e, "hook").withColumn("hook_event", label(dim(e, "hook_event"), fx.NONE_LABEL))
 
     def summed(key: str) -> Column:
-        return zero(F.sum(number(rows, key)))
+        return total_of(number(rows, key))
 
     grouped = rows.groupBy("hook_event").agg(
         F.count("*").alias("executions"),

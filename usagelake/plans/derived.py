@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelake import fixed_values as fx
-from usagelake.functions.maps import count_if, rate, sum_if, zero
+from usagelake.functions.maps import count_if, rate, sum_if, total_of, zero
 from usagelake.operators.relational import beside, merge_left
 from usagelake.plans import blocks as b
 from usagelake.plans.capabilities import autonomy_by_mode, hooks_by_event, plugins
@@ -173,7 +173,7 @@ def top_mode(e) -> DataFrame:
 def _ranked_trend(m, keep: int) -> DataFrame:
     """The daily cost per model with the model's rank by total cost; 0 beyond the kept ones."""
     trend = cost_timeseries(m)
-    totals = trend.groupBy("model").agg(F.sum("cost").alias("_total"))
+    totals = trend.groupBy("model").agg(total_of(F.col("cost")).alias("_total"))
     order = [F.col("_total").desc(), F.col("model").asc()]
     # The limit runs as a distributed top list; only ``keep`` rows reach the rank.
     best = totals.orderBy(*order).limit(keep)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagelake import fixed_values as fx
-from usagelake.functions.maps import count_if, day_text, dim, number, rate, zero
+from usagelake.functions.maps import count_if, day_text, dim, number, rate, total_of, zero
 from usagelake.operators.quantile import exact_quantiles
 from usagelake.operators.relational import beside, descending
 from usagelake.plans import blocks as b
@@ -101,7 +101,7 @@ def efficiency(e) -> DataFrame:
         "output": "output_tokens",
         "total_cost": "cost_usd",
     }
-    sums = rows.agg(*[zero(F.sum(number(rows, key))).alias(name) for name, key in summed.items()])
+    sums = rows.agg(*[total_of(number(rows, key)).alias(name) for name, key in summed.items()])
     read = F.col("cache_read")
     prompt = read + F.col("cache_creation") + F.col("input")
     return sums.withColumns(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagelake import fixed_values as fx
-from usagelake.functions.maps import attribute, count_if, dim, sum_if, zero
+from usagelake.functions.maps import attribute, count_if, dim, sum_if, total_of
 from usagelake.functions.text import ns_text
 from usagelake.operators.relational import merge_left, top_n, union_all
 from usagelake.plans import blocks as b
@@ -99,7 +99,7 @@ def agent_uses(e):
 
 def agent_tokens(m):
     named = b.metric(m, "token.usage").withColumn("agent_type", attribute(m, "agent.name"))
-    return named.where("agent_type != ''").groupBy("agent_type").agg(zero(F.sum("value")).alias("tokens"))
+    return named.where("agent_type != ''").groupBy("agent_type").agg(total_of(F.col("value")).alias("tokens"))
 
 
 def subagents(m, e):
@@ -111,7 +111,7 @@ def cost_by_effort(m):
 
 
 def cost_by_user_top(m):
-    grouped = b.metric(m, "cost.usage").groupBy("user_hash").agg(zero(F.sum("value")).alias("cost"))
+    grouped = b.metric(m, "cost.usage").groupBy("user_hash").agg(total_of(F.col("value")).alias("cost"))
     return top_n(grouped, "cost", "user_hash", 10)
 
 
@@ -213,6 +213,6 @@ def metric_breakdowns(m) -> DataFrame:
     return (
         m.select(F.explode(groupings).alias("g"), "value")
         .groupBy(F.col("g.block").alias("block"), F.col("g.key").alias("key"))
-        .agg(zero(F.sum("value")).alias("value"))
+        .agg(total_of(F.col("value")).alias("value"))
         .withColumn("key", shown)
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagelake import fixed_values as fx
-from usagelake.functions.maps import attribute, day_text, label, sum_if, zero
+from usagelake.functions.maps import attribute, day_text, label, sum_if, total_of
 from usagelake.functions.text import ns_text
 from usagelake.operators.relational import merge_full_outer, top_n
 from usagelake.plans import blocks as b
@@ -94,7 +94,7 @@ def model_tokens(m, model):
 
 
 def model_top_users(m, model):
-    grouped = _of_model(m, model).groupBy("user_hash").agg(zero(F.sum("value")).alias("cost"))
+    grouped = _of_model(m, model).groupBy("user_hash").agg(total_of(F.col("value")).alias("cost"))
     return top_n(grouped, "cost", "user_hash", 10)
 
 
@@ -117,7 +117,7 @@ def model_detail(m, model: str) -> dict[str, DataFrame]:
 
 
 def cost_timeseries(m) -> DataFrame:
-    grouped = b.metric(m, "cost.usage").groupBy("event_date", "model").agg(zero(F.sum("value")).alias("cost"))
+    grouped = b.metric(m, "cost.usage").groupBy("event_date", "model").agg(total_of(F.col("value")).alias("cost"))
     return grouped.orderBy("event_date", "model").select(
         day_text(F.col("event_date")).alias("day"), label(F.col("model"), fx.UNKNOWN_LABEL).alias("model"), "cost"
     )

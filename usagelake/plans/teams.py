@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagelake import fixed_values as fx
-from usagelake.functions.maps import count_if, dim, label, number, rate, sum_if, zero
+from usagelake.functions.maps import count_if, dim, label, number, rate, sum_if, total_of, zero
 from usagelake.operators.relational import descending, merge_full_outer, team_join, top_n
 from usagelake.plans import blocks as b
 
@@ -23,8 +23,8 @@ def teams(m, e, membership) -> DataFrame:
     sessions = team_join(_session_totals(m), membership)
     totals = sessions.groupBy("team").agg(
         F.count_distinct("user_hash").alias("members"),
-        F.sum("cost").alias("cost"),
-        F.sum("tokens").alias("tokens"),
+        total_of(F.col("cost")).alias("cost"),
+        total_of(F.col("tokens")).alias("tokens"),
         F.count_distinct("session_id").alias("sessions"),
     )
     per_user = b.event(e, "tool_result").groupBy("user_hash").agg(F.count("*").alias("n"))
@@ -40,22 +40,22 @@ def _in_team(per_user: DataFrame, membership: DataFrame, team: str) -> DataFrame
 
 
 def team_cost_by_day(m, membership, team):
-    daily = b.metric(m, "cost.usage").groupBy("user_hash", "event_date").agg(F.sum("value").alias("value"))
+    daily = b.metric(m, "cost.usage").groupBy("user_hash", "event_date").agg(total_of(F.col("value")).alias("value"))
     return b.sum_by_day(_in_team(daily, membership, team), "cost")
 
 
 def team_members(m, membership, team):
     per_user = _in_team(_session_totals(m), membership, team).groupBy("user_hash").agg(
-        F.sum("cost").alias("cost"),
-        F.sum("tokens").alias("tokens"),
+        total_of(F.col("cost")).alias("cost"),
+        total_of(F.col("tokens")).alias("tokens"),
         F.count("session_id").alias("sessions"),  # one row per session already
     )
     return top_n(per_user, "cost", "user_hash", 100)
 
 
 def team_models(m, membership, team):
-    per_user = b.metric(m, "cost.usage").groupBy("user_hash", "model").agg(F.sum("value").alias("value"))
-    grouped = _in_team(per_user, membership, team).groupBy("model").agg(zero(F.sum("value")).alias("cost"))
+    per_user = b.metric(m, "cost.usage").groupBy("user_hash", "model").agg(total_of(F.col("value")).alias("value"))
+    grouped = _in_team(per_user, membership, team).groupBy("model").agg(total_of(F.col("value")).alias("cost"))
     return descending(grouped.withColumn("model", label(F.col("model"), fx.UNKNOWN_LABEL)), "cost", "model")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelake.functions.maps import count_if, day_text, dim, number, rate, zero
+from usagelake.functions.maps import count_if, day_text, dim, number, rate, total_of, zero
 from usagelake.operators.quantile import exact_quantiles
 from usagelake.operators.relational import beside, latest, merge_full_outer, merge_left, top_n
 from usagelake.plans import blocks as b
@@ -85,8 +85,8 @@ def agents_list(e) -> DataFrame:
     rows = b.event(e, "subagent").withColumn("agent_type", dim(e, "agent_type")).where("agent_type != ''")
     grouped = rows.groupBy("agent_type").agg(
         F.count("*").alias("uses"),
-        zero(F.sum(number(rows, "total_tokens"))).alias("tokens"),
-        zero(F.sum(number(rows, "total_tool_uses"))).alias("tool_uses"),
+        total_of(number(rows, "total_tokens")).alias("tokens"),
+        total_of(number(rows, "total_tool_uses")).alias("tool_uses"),
         F.count_distinct("user_hash").alias("users"),
         b.average(rows, "duration_ms").alias("avg_duration_ms"),
     )
@@ -110,7 +110,7 @@ def _of_agent(e, agent: str) -> DataFrame:
 def agent_uses_by_day(e, agent):
     rows = _of_agent(e, agent)
     grouped = rows.groupBy("event_date").agg(
-        F.count("*").alias("uses"), zero(F.sum(number(rows, "total_tokens"))).alias("tokens")
+        F.count("*").alias("uses"), total_of(number(rows, "total_tokens")).alias("tokens")
     )
     return grouped.orderBy("event_date").select(day_text(F.col("event_date")).alias("day"), "uses", "tokens")
 

@@ -24,6 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal the rows of a table with fewer splits than cores over all cores.
+
+    The generated tables are single files of one row group, which one task would
+    read and process alone. A table with many files is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _pick(index: Column, *values: str | None) -> Column:
     """values[index]; None and anything beyond the list is NULL."""
     case = None
@@ -60,13 +70,15 @@ def _maps(columns: dict[str, Column], cast: str) -> Column:
 
 def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item with the columns of a metric point (attributes still separate)."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("ok"),
-        F.col("l_partkey").alias("pk"),
-        F.col("l_suppkey").alias("sk"),
-        F.col("l_linenumber").alias("ln"),
-        "l_quantity",
-        "l_extendedprice",
+    lines = spread(
+        table(spark, sf_dir, "lineitem").select(
+            F.col("l_orderkey").alias("ok"),
+            F.col("l_partkey").alias("pk"),
+            F.col("l_suppkey").alias("sk"),
+            F.col("l_linenumber").alias("ln"),
+            "l_quantity",
+            "l_extendedprice",
+        )
     )
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ok"), "o_custkey")
     rows = lines.join(orders, "ok")
@@ -151,7 +163,7 @@ _EVENT_NAMES = {  # canonical type -> vendor event name used in derived requests
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event with identity, type, dims and numbers as maps (before replay)."""
-    raw = table(spark, sf_dir, "events").select(
+    raw = spread(table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("i"),
         F.col("user_id").alias("u"),
         F.col("event_type").alias("kind"),
@@ -480,7 +492,7 @@ PLANTED = (
 
 def planted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents with a planted value by ``doc_id % 7``: (doc_id, org_id, text)."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     extra = _pick(F.col("doc_id") % 7, *PLANTED)
     return docs.select(
         "doc_id",
