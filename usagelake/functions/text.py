@@ -32,7 +32,8 @@ def number_text(value: Column) -> Column:
     """Decimal text of a double without a trailing '.0' or a Java-style exponent.
 
     1200.0 -> '1200', 0.0123 -> '0.0123', 1.0E-4 -> '0.0001', 1.5E7 -> '15000000',
-    1.0E21 -> '1e+21', 1.0E-7 -> '1e-7'.
+    1.0E21 -> '1e+21', 1.0E-7 -> '1e-7'. The digits are those the JVM prints, which
+    before version 19 are not always the shortest ones.
     """
     raw = value.cast("string")
     size = F.abs(value)
