@@ -34,6 +34,17 @@ def test_tools_read_flat_columns_instead_of_maps(scoped):
     assert schemas and not any("map<" in s for s in schemas)
 
 
+def test_one_tool_is_filtered_in_the_scan(scoped):
+    assert "EqualTo(dim_tool_name,Edit)" in plan(tools.tool_uses_by_day(scoped[1], "Edit"))
+
+
+def test_quantiles_count_values_once(scoped):
+    df = tools.tool_latency(scoped[1], "Edit")
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in text.split("Initial Plan")[0]
+
+
 def test_breakdowns_scan_once_and_shuffle_once(scoped):
     text = plan(overview.metric_breakdowns(scoped[0]), "simple")
     assert text.count("FileScan") == 1 and text.count("Exchange") == 1

@@ -18,24 +18,31 @@ def entry(map_column: Column, key: str) -> Column:
     return F.try_element_at(map_column, F.lit(key))
 
 
-def _hot(df: DataFrame, prefix: str, map_name: str, key: str) -> Column:
+def _hot(df: DataFrame, prefix: str, key: str) -> Column | None:
+    """The flat copy of a map entry, where the table has one."""
     name = hot_column(prefix, key)
-    return F.col(name) if name in df.columns else entry(F.col(map_name), key)
+    return F.col(name) if name in df.columns else None
 
 
 def dim(df: DataFrame, key: str) -> Column:
-    """String dimension of an event, '' when absent."""
-    return text(_hot(df, "dim", "dims", key))
+    """String dimension of an event, '' when absent.
+
+    Flat copies hold '' already; used bare, comparisons with them reach the scan.
+    """
+    flat = _hot(df, "dim", key)
+    return text(entry(F.col("dims"), key)) if flat is None else flat
 
 
 def number(df: DataFrame, key: str) -> Column:
     """Numeric field of an event, NULL when absent."""
-    return _hot(df, "num", "numbers", key)
+    flat = _hot(df, "num", key)
+    return entry(F.col("numbers"), key) if flat is None else flat
 
 
 def attribute(df: DataFrame, key: str) -> Column:
     """Long-tail attribute of a metric, '' when absent."""
-    return text(_hot(df, "attr", "attributes", key))
+    flat = _hot(df, "attr", key)
+    return text(entry(F.col("attributes"), key)) if flat is None else flat
 
 
 def label(value: Column, missing: str) -> Column:

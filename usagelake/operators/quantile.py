@@ -38,6 +38,9 @@ def exact_quantiles(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_c"))
         .withColumn("_s", _slice(F.col("_v")))
+        # The join below infers this filter for one of its sides; stated for both,
+        # the two sides share one shuffle of the counts.
+        .where(F.col("_s").isNotNull())
     )
     group = keys or [F.lit(0)]
     by_slice = Window.partitionBy(*group).orderBy("_s")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelake import fixed_values as fx
-from usagelake.functions.maps import attribute, count_if, day_text, dim, label, number, rate, total_of, zero
+from usagelake.functions.maps import attribute, count_if, day_text, dim, label, number, rate, sum_if, total_of, zero
 from usagelake.operators.relational import descending, top_n
 
 
@@ -22,6 +22,23 @@ def event(e: DataFrame, kind: str) -> DataFrame:
     return e.where(F.col("event_type") == kind)
 
 
+def distinct_counts(rows: DataFrame, keys: list[Column], columns: dict[str, str]) -> DataFrame:
+    """Exact distinct counts of several columns (result name -> column) per key.
+
+    The rows are reduced to distinct combinations first: counting several columns
+    multiplies its input, which should be the few combinations and not every row.
+    """
+    named = rows.select(*keys, *columns.values()).distinct()
+    counts = [F.count_distinct(c).alias(name) for name, c in columns.items()]
+    return named.groupBy(*named.columns[: len(keys)]).agg(*counts)
+
+
+def per_session(m: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """Conditional sums of metric values (result name -> condition) per user and session."""
+    value = F.col("value")
+    return m.groupBy("user_hash", "session_id").agg(*[sum_if(value, c).alias(n) for n, c in sums.items()])
+
+
 def sum_by(rows: DataFrame, key: Column, key_name: str, value_name: str, missing: str | None = None) -> DataFrame:
     """Sum of metric values per key, greatest first; '' is shown as ``missing``."""
     grouped = rows.groupBy(key.alias(key_name)).agg(total_of(F.col("value")).alias(value_name))

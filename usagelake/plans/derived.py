@@ -39,11 +39,12 @@ def is_good(moved: Column, better_when_lower: bool = False) -> Column:
 
 
 def period_totals(m) -> DataFrame:
-    """Cost, tokens, users and sessions of one range in one aggregate."""
-    value, name = F.col("value"), F.col("name")
-    return m.agg(
-        sum_if(value, name == "cost.usage").alias("cost"),
-        sum_if(value, name == "token.usage").alias("tokens"),
+    """Cost, tokens, users and sessions of one range."""
+    name = F.col("name")
+    sessions = b.per_session(m, {"cost": name == "cost.usage", "tokens": name == "token.usage"})
+    return sessions.agg(
+        total_of(F.col("cost")).alias("cost"),
+        total_of(F.col("tokens")).alias("tokens"),
         F.count_distinct("user_hash").cast("double").alias("active_users"),
         F.count_distinct("session_id").cast("double").alias("sessions"),
     )
@@ -68,21 +69,22 @@ def period_delta(current_m, prior_m) -> DataFrame:
 
 def overview_kpis(m, e) -> DataFrame:
     """The overview's headline figures in one row."""
-    value, name = F.col("value"), F.col("name")
-    decision, subtype = F.col("decision"), F.col("subtype")
-    is_decision = name == "code_edit_tool.decision"
-    is_tokens = name == "token.usage"
-    from_metrics = m.agg(
-        sum_if(value, name == "cost.usage").alias("total_cost"),
-        sum_if(value, is_tokens).alias("total_tokens"),
-        sum_if(value, name == "lines_of_code.count").alias("total_lines"),
-        (sum_if(value, name == "active_time.total") / 60).alias("active_minutes"),
-        sum_if(value, name == "commit.count").alias("commits"),
-        sum_if(value, name == "pull_request.count").alias("pull_requests"),
-        sum_if(value, is_decision & (decision == "accept")).alias("_accept"),
-        sum_if(value, is_decision & (decision == "reject")).alias("_reject"),
-        sum_if(value, is_tokens & (subtype == "cacheRead")).alias("_read"),
-        sum_if(value, is_tokens & (subtype == "cacheCreation")).alias("_creation"),
+    name, subtype, decision = F.col("name"), F.col("subtype"), F.col("decision")
+    is_decision, is_tokens = name == "code_edit_tool.decision", name == "token.usage"
+    sums = {
+        "total_cost": name == "cost.usage",
+        "total_tokens": is_tokens,
+        "total_lines": name == "lines_of_code.count",
+        "_seconds": name == "active_time.total",
+        "commits": name == "commit.count",
+        "pull_requests": name == "pull_request.count",
+        "_accept": is_decision & (decision == "accept"),
+        "_reject": is_decision & (decision == "reject"),
+        "_read": is_tokens & (subtype == "cacheRead"),
+        "_creation": is_tokens & (subtype == "cacheCreation"),
+    }
+    from_metrics = b.per_session(m, sums).agg(
+        *[total_of(F.col(c)).alias(c) for c in sums],
         F.count_distinct("user_hash").alias("active_users"),
         F.count_distinct("session_id").alias("sessions"),
     )
@@ -98,7 +100,7 @@ def overview_kpis(m, e) -> DataFrame:
         "total_cost",
         "total_tokens",
         "total_lines",
-        "active_minutes",
+        (F.col("_seconds") / 60).alias("active_minutes"),
         "commits",
         "pull_requests",
         "active_users",

@@ -71,11 +71,8 @@ def reliability(e) -> dict[str, DataFrame]:
 
 def _reach(m, column: str, name: str) -> DataFrame:
     """Distinct users and sessions per non-empty value."""
-    grouped = (
-        m.where(F.col(column) != "")
-        .groupBy(F.col(column).alias(name))
-        .agg(F.count_distinct("user_hash").alias("users"), F.count_distinct("session_id").alias("sessions"))
-    )
+    rows = m.where(F.col(column) != "")
+    grouped = b.distinct_counts(rows, [F.col(column).alias(name)], {"users": "user_hash", "sessions": "session_id"})
     return descending(grouped, "users", name)
 
 

@@ -42,9 +42,7 @@ def tokens_by_type(m):
 
 
 def adoption(m):
-    return m.agg(
-        F.count_distinct("user_hash").alias("active_users"), F.count_distinct("session_id").alias("sessions")
-    )
+    return b.distinct_counts(m, [], {"active_users": "user_hash", "sessions": "session_id"})
 
 
 def edit_decisions(m):

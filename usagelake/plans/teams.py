@@ -12,10 +12,8 @@ from usagelake.plans import blocks as b
 
 
 def _session_totals(m) -> DataFrame:
-    value, name = F.col("value"), F.col("name")
-    return m.groupBy("user_hash", "session_id").agg(
-        sum_if(value, name == "cost.usage").alias("cost"), sum_if(value, name == "token.usage").alias("tokens")
-    )
+    name = F.col("name")
+    return b.per_session(m, {"cost": name == "cost.usage", "tokens": name == "token.usage"})
 
 
 def teams(m, e, membership) -> DataFrame:
