@@ -20,7 +20,7 @@ from usagelake.lake import Lake  # noqa: E402
 from usagelake.session import local_session  # noqa: E402
 
 COLLECTED = (
-    "orgs", "metric_breakdowns", "cost_by_model", "cost_timeseries", "adoption", "cost_by_user_top", "people",
+    "orgs", "metric_breakdowns", "event_breakdowns", "cost_by_model", "cost_timeseries", "adoption", "cost_by_user_top", "people",
     "person_tools", "model_top_users", "tools_list", "tool_latency", "agents_list", "teams", "team_members", "plugins",
     "hooks_by_event", "reliability_totals", "errors_by_day", "env_versions", "efficiency", "friction",
     "session_duration", "overview_kpis", "period_delta", "cost_pivot_top4",

@@ -352,6 +352,29 @@ ORACLE["metric_breakdowns"] = M + " UNION ALL ".join(
     for block, where, key, missing in _BREAKDOWNS
 )
 
+_EVENT_BREAKDOWNS = (
+    ("skills", "skill_activated", "skill_name", ""),
+    ("plugins", "plugin", "plugin_name", ""),
+    ("mcp_servers", "mcp_server_connection", "server_name", ""),
+    ("mcp_by_transport", "mcp_server_connection", "transport_type", "(none)"),
+    ("hooks_by_source", "hook", "hook_source", "(none)"),
+    ("autonomy_by_mode", "permission_mode_changed", "to_mode", "(none)"),
+    ("autonomy_by_trigger", "permission_mode_changed", "trigger", "(none)"),
+    ("decision_sources", "tool_result", "decision_source", "(unknown)"),
+    ("errors_by_model", "api_error", "model", "(unknown)"),
+    ("refusals_by_model", "api_refusal", "model", "(unknown)"),
+)
+ORACLE["event_breakdowns"] = (
+    E
+    + "SELECT block, key, count FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{block}' AS block, coalesce({key}, '{missing}') AS key, count(*) AS count "
+        f"FROM e WHERE event_type = '{kind}' GROUP BY 2"
+        for block, kind, key, missing in _EVENT_BREAKDOWNS
+    )
+    + ") WHERE key <> ''"
+)
+
 # --- people and models ----------------------------------------------------------
 
 _BY_USER = f"user_hash = '{USER}'"

@@ -85,7 +85,7 @@ def _with_team(frame, *blocks) -> dict:
 ANALYTICS: dict[str, Callable[[Lake], DataFrame]] = {
     "orgs": lambda lake: overview.orgs(lake.bronze_metrics(), lake.bronze_events()),
     **_of_metrics(*overview.METRIC_BLOCKS.values(), overview.metric_breakdowns),
-    **_of_events(*overview.EVENT_BLOCKS.values()),
+    **_of_events(*overview.EVENT_BLOCKS.values(), overview.event_breakdowns),
     **_of_both(overview.subagents, people.people),
     **_with_entity(
         oracle.USER, _m, people.person_cost_by_day, people.person_tokens, people.person_models,

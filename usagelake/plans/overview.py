@@ -173,7 +173,7 @@ def metric_breakdowns(m) -> DataFrame:
     row expands only into the groupings its name takes part in, and partial sums
     shrink them before the shuffle.
     """
-    name, subtype = F.col("name"), F.col("subtype")
+    subtype = F.col("subtype")
     day = F.date_format("event_date", "yyyy-MM-dd")
     cost_keys = {
         "cost_by_model": F.col("model"),
@@ -200,17 +200,57 @@ def metric_breakdowns(m) -> DataFrame:
         "active_time": fx.NONE_LABEL,
         "sessions_by_start": fx.NONE_LABEL,
     }
+    summed = _grouped_at_once(m, "name", keys_of, total_of(F.col("value")).alias("value"), "value")
+    return _labelled(summed, missing)
+
+
+def event_breakdowns(e) -> DataFrame:
+    """Every event count of the reports in one scan: (block, key, count). Top lists leave out the key ''."""
+    keys_of = {
+        "skill_activated": {"skills": dim(e, "skill.name")},
+        "plugin": {"plugins": dim(e, "plugin.name")},
+        "mcp_server_connection": {
+            "mcp_servers": dim(e, "server_name"),
+            "mcp_by_transport": dim(e, "transport_type"),
+        },
+        "hook": {"hooks_by_source": dim(e, "hook_source")},
+        "permission_mode_changed": {
+            "autonomy_by_mode": dim(e, "to_mode"),
+            "autonomy_by_trigger": dim(e, "trigger"),
+        },
+        "tool_result": {"decision_sources": dim(e, "decision_source")},
+        "api_error": {"errors_by_model": F.col("model")},
+        "api_refusal": {"refusals_by_model": F.col("model")},
+    }
+    missing = {
+        "mcp_by_transport": fx.NONE_LABEL,
+        "hooks_by_source": fx.NONE_LABEL,
+        "autonomy_by_mode": fx.NONE_LABEL,
+        "autonomy_by_trigger": fx.NONE_LABEL,
+        "decision_sources": fx.UNKNOWN_LABEL,
+        "errors_by_model": fx.UNKNOWN_LABEL,
+        "refusals_by_model": fx.UNKNOWN_LABEL,
+    }
+    counted = _grouped_at_once(e, "event_type", keys_of, F.count("*").alias("count"))
+    return _labelled(counted, missing).where("key <> ''")
+
+
+def _grouped_at_once(rows: DataFrame, kind: str, keys_of: dict, aggregate, *values: str) -> DataFrame:
+    """Aggregate per (block, key); a row takes part in the blocks of its kind only."""
     groupings = None
-    for metric_name, keys in keys_of.items():
+    for name, keys in keys_of.items():
         parts = F.array(*[F.struct(F.lit(k).alias("block"), v.alias("key")) for k, v in keys.items()])
-        is_name = name == metric_name
-        groupings = F.when(is_name, parts) if groupings is None else groupings.when(is_name, parts)
-    labels = F.create_map(*[F.lit(x) for pair in missing.items() for x in pair])
-    key = F.col("key")
-    shown = F.when(key == "", F.coalesce(F.try_element_at(labels, F.col("block")), F.lit(""))).otherwise(key)
+        is_kind = F.col(kind) == name
+        groupings = F.when(is_kind, parts) if groupings is None else groupings.when(is_kind, parts)
     return (
-        m.select(F.explode(groupings).alias("g"), "value")
+        rows.select(F.explode(groupings).alias("g"), *values)
         .groupBy(F.col("g.block").alias("block"), F.col("g.key").alias("key"))
-        .agg(total_of(F.col("value")).alias("value"))
-        .withColumn("key", shown)
+        .agg(aggregate)
     )
+
+
+def _labelled(grouped: DataFrame, missing: dict[str, str]) -> DataFrame:
+    labels = F.create_map(*[F.lit(x) for pair in missing.items() for x in pair])
+    key = F.col("key")
+    shown = F.when(key == "", F.coalesce(F.try_element_at(labels, F.col("block")), F.lit(""))).otherwise(key)
+    return grouped.withColumn("key", shown)

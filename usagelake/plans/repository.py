@@ -74,6 +74,9 @@ class Analytics:
     def metric_breakdowns(self, r: DateRange):
         return overview.metric_breakdowns(self.metrics(r))
 
+    def event_breakdowns(self, r: DateRange):
+        return overview.event_breakdowns(self.events(r))
+
     def people(self, r: DateRange):
         return people.people(self.metrics(r), self.events(r))
 
