@@ -6,17 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import path as tokenizer_file
 
-from llm import mixing, sharding
+from llm import classifier, mixing, quality, sharding, tokens
 from llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality.judged(docs, drop=("text",)).select("doc_id", "_quality.*")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.token_counts(docs, str(tokenizer_file("word_bpe_49k.json")), drop=("text",))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_uniform_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
@@ -29,7 +44,10 @@ def op10_uniform_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_token_counts": op3_token_counts,
     "op7_source_mix": op7_source_mix,
+    "op8_quality_scores": op8_quality_scores,
     "op10_uniform_shuffle": op10_uniform_shuffle,
 }
 ORACLE: dict[str, str] = {}
