@@ -75,7 +75,7 @@ def communication_matrix(sizes: DataFrame, total: int, levels: int, shards: int,
     spark = sizes.sparkSession
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     nodes = spark.range(1).select(
-        F.lit(0).cast("long").alias("part"), F.array(*[F.lit(q).cast("long") for q in quota]).alias("counts")
+        F.col("id").alias("part"), F.array(*[F.lit(q).cast("long") for q in quota]).alias("counts")
     )
     for level in range(1, levels + 1):
         left = (
