@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -32,8 +33,12 @@ def folder(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
     df.write.option("compression", "zstd").parquet(path)
-    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()  # lets Spark drop the shuffle files of plans that nothing refers to any more
     kept.stash_path = path
     return kept
 

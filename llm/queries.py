@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_file
 
-from llm import classifier, mixing, quality, sharding, tokens
+from llm import classifier, minhash, mixing, quality, sharding, tokens
 from llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,12 @@ def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
 def op10_uniform_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
@@ -48,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_counts": op3_token_counts,
     "op7_source_mix": op7_source_mix,
     "op8_quality_scores": op8_quality_scores,
+    "op9_minhash_groups": op9_minhash_groups,
     "op10_uniform_shuffle": op10_uniform_shuffle,
 }
 ORACLE: dict[str, str] = {}
