@@ -22,16 +22,17 @@ from llm.common import WORDS, components, stash
 SHINGLE = 5
 PERCENT = 75
 M, HALF = 16, 4
-#: Pairs whose signatures agree less are not fetched; at 75 % similarity this is over five standard deviations off.
-LEAST_AGREEMENT = 0.55
+#: Pairs whose signatures agree less are not compared; at 75 % similarity this is almost four standard deviations off.
+LEAST_AGREEMENT = 0.6
+BLOCK = 512  # members of a bucket that are compared with each other, or with as many others, in one task
 SLICE = 64  # pairs confirmed against one document in one go
 _MEMO = 1 << 20
 
 _LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 _rng = np.random.default_rng(9)
 _STEP = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIP = _rng.integers(0, 1 << 63, 2 * M * HALF, dtype=np.uint64)
-_ODD = _rng.integers(1, 1 << 63, 2 * M * HALF, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _rng.integers(0, 1 << 32, 2 * M * HALF, dtype=np.uint32)
+_ODD = _rng.integers(0, 1 << 31, 2 * M * HALF, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _words: dict[str, int] = {}
 
 
@@ -68,20 +69,22 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def minhashes(hashes: np.ndarray) -> np.ndarray:
-    out = np.full(2 * M * HALF, np.uint64(2**64 - 1))
-    for lo in range(0, len(hashes), 2048):
-        part = (hashes[lo : lo + 2048, None] ^ _FLIP) * _ODD
+    out = np.full(2 * M * HALF, np.uint32(2**32 - 1))
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for lo in range(0, len(short), 256):
+        part = short[lo : lo + 256, None] ^ _FLIP
+        part *= _ODD
         out = np.minimum(out, part.min(axis=0))
     return out
 
 
 def half_keys(mins: np.ndarray) -> np.ndarray:
     """M half keys of each collection; the lowest bit tells the collection."""
-    h = np.repeat(np.arange(2 * M, dtype=np.uint64)[None], 1, 0)[0]
-    groups = mins.reshape(2 * M, HALF)
+    at = np.arange(2 * M, dtype=np.uint64)
+    h, groups = at, mins.astype(np.uint64).reshape(2 * M, HALF)
     for k in range(HALF):
         h = _mixed(h + groups[:, k])
-    return (h & ~np.uint64(1)) | (np.arange(2 * M, dtype=np.uint64) >= M)
+    return (h & ~np.uint64(1)) | (at >= M)
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +99,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mins = minhashes(s)
             out["cid"].append(int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True))
             out["halves"].append(half_keys(mins).view(np.int64))
-            out["signature"].append((mins >> np.uint64(56)).astype(np.uint8).tobytes())
+            out["signature"].append((mins >> np.uint32(24)).astype(np.uint8).tobytes())
         types = {"n": pa.int64(), "cid": pa.int64(), "halves": pa.list_(pa.int64()), "signature": pa.binary()}
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), *(pa.array(out[c], t) for c, t in types.items())], names=["doc_id", "th", *types]
@@ -111,18 +114,25 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """Rows (key, cid, hub) of all table keys that several classes have; hub is the smallest of them."""
+    """Rows (key, left, cid, hub) of all table keys that several classes have.
+
+    ``left`` is the key's half of the first collection. ``hub`` is the member of the bucket with the most shared keys
+    altogether: the text that most others are near to, and so the one most likely to be linked with them.
+    """
     halves = classes.select("cid", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     per_class = halves.join(shared, "half").groupBy("cid").agg(F.collect_list("half").alias("halves"))
     keys = (
         per_class.withColumn("left", F.explode(F.filter("halves", lambda h: h.bitwiseAND(F.lit(1)) == 0)))
         .withColumn("right", F.explode(F.filter("halves", lambda h: h.bitwiseAND(F.lit(1)) == 1)))
-        .select("cid", F.xxhash64("left", "right").alias("key"))
+        .select("cid", "left", F.xxhash64("left", "right").alias("key"))
     )
     keys = stash(keys, "keys")
-    hubs = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("hub")).where("n > 1").select("key", "hub")
-    return stash(keys.join(hubs, "key"), "buckets")
+    several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keys = stash(keys.join(several, "key"), "keys")
+    degrees = keys.groupBy("cid").agg(F.count("*").alias("degree"))
+    hubs = keys.join(degrees, "cid").groupBy("key").agg(F.max(F.struct("degree", "cid")).alias("hub"))
+    return stash(keys.join(hubs.select("key", F.col("hub.cid").alias("hub")), "key"), "buckets")
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +177,90 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "member").mapInArrow(_confirmed, "a long, b long")
 
 
+class _Block:
+    """Members of one part of a bucket, compared pair by pair without writing pairs out."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rows = rows  # (block, cid, component, halves, signature, text)
+        self.sets: dict[int, np.ndarray] = {}
+
+    def set_of(self, i: int) -> np.ndarray:
+        if i not in self.sets:
+            self.sets[i] = shingles(self.rows[i][5])
+        return self.sets[i]
+
+    def links(self, left: int, x: int, y: int) -> list[tuple[int, int]]:
+        """Links between blocks x and y that join components; at most one per member."""
+        first = [i for i, r in enumerate(self.rows) if r[0] == x]
+        second = first if x == y else [i for i, r in enumerate(self.rows) if r[0] == y]
+        halves = np.array([r[3] for r in self.rows], np.int64).reshape(len(self.rows), 2 * M)
+        marks = np.frombuffer(b"".join(r[4] for r in self.rows), np.uint8).reshape(len(self.rows), -1)
+        own = np.argmax(halves[:, :M] == left, axis=1)  # which table of the first collection this bucket is in
+        top: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while top.get(c, c) != c:
+                c = top[c]
+            return c
+
+        found, rest = [], np.array(second)
+        for i in first:
+            js = rest[rest > i] if x == y else rest
+            js = js[(marks[js] == marks[i]).mean(axis=1) >= LEAST_AGREEMENT]
+            same = halves[js] == halves[i]
+            js = js[same[:, M:].any(axis=1) & (np.argmax(same[:, :M], axis=1) == own[i])]  # in the first shared table only
+            for j in js.tolist():
+                a, b = root(self.rows[i][2]), root(self.rows[j][2])
+                if a == b:
+                    continue
+                s, t = self.set_of(i), self.set_of(j)
+                if 100 * min(len(s), len(t)) < PERCENT * max(len(s), len(t)):
+                    continue
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * common >= PERCENT * (len(s) + len(t) - common):
+                    top[max(a, b)] = min(a, b)
+                    found.append((self.rows[i][1], self.rows[j][1]))
+        return found
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def done(at, rows):
+        found = _Block(rows).links(*at) if at and len(rows) > 1 else []
+        return pa.RecordBatch.from_pydict(
+            {"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())}
+        )
+
+    at, rows = None, []
+    for batch in batches:
+        for left, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (left, x, y) != at:
+                yield done(at, rows)
+                at, rows = (left, x, y), []
+            rows.append(tuple(row))
+    yield done(at, rows)
+
+
+def across(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components that still share a table key.
+
+    Members of a bucket lie in blocks, and each pair of blocks is one group of rows, so a bucket of any size is
+    spread over tasks. A pair that shares several table keys is compared in its first shared bucket only.
+    """
+    placed = shared.join(labels.withColumnRenamed("node", "cid"), "cid").select("key", "left", "cid", "component")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    members = placed.join(mixed, "key").select("left", "cid", "component").distinct()
+    blocks = members.groupBy("left").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")),
+    )
+    dealt = members.join(blocks, "left").withColumn("block", own).withColumn("pair", F.explode(pairs))
+    full = dealt.join(classes.select("cid", "halves", "signature"), "cid").join(texts, "cid")
+    rows = full.select("left", "pair.x", "pair.y", "block", "cid", "component", "halves", "signature", "text")
+    return rows.repartition("left", "x", "y").sortWithinPartitions("left", "x", "y", "cid").mapInArrow(_compared, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, th, n_shingles, cid, root, component_id), one per row of ``docs`` (doc_id, text).
 
@@ -175,8 +269,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     their own doc_id. NULL doc_ids take part but are no group's smallest id unless all are NULL. Repeated rows count
     as equal documents. An empty table gives an empty result.
 
-    Links are looked for in two rounds: members of a bucket against its smallest class, then, where a bucket still
-    holds several components, all its pairs across components. Pairs within a component need no link of their own.
+    Links are looked for in two rounds: members of a bucket against its most central class, then, where a bucket
+    still holds several components, all its pairs across components. Pairs within a component need no link of their
+    own.
     """
     rows = stash(described(docs), "described")
     named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
@@ -194,16 +289,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = shared.where("hub <> cid").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
     links = stash(confirmed(likely(stars, classes), texts), "links")
     labels = components(links.union(classes.select(F.col("cid").alias("a"), F.col("cid").alias("b"))))
-    placed = stash(shared.join(labels.withColumnRenamed("node", "cid"), "cid").select("key", "cid", "component"), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = placed.join(mixed, "key")
-    right = left.toDF("key", "other", "beside")
-    rest = (
-        left.join(right, "key").where((F.col("cid") < F.col("other")) & (F.col("component") != F.col("beside")))
-        .select(F.col("cid").alias("a"), F.col("other").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = stash(confirmed(likely(rest, classes), texts), "links")
+    more = stash(across(shared, labels, classes, texts), "links")
     joined = more.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     again = components(joined)
     final = (
