@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_file
 
-from llm import classifier, minhash, mixing, pivots, quality, sharding, tokens
+from llm import classifier, html, minhash, mixing, pivots, quality, sharding, tokens
 from llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(docs, str(tokenizer_file("word_bpe_49k.json")), drop=("text",))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +60,7 @@ def op10_uniform_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
+    "op4_main_text": op4_main_text,
     "op5_embedding_groups": op5_embedding_groups,
     "op7_source_mix": op7_source_mix,
     "op8_quality_scores": op8_quality_scores,
