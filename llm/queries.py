@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_file
 
-from llm import classifier, html, minhash, mixing, pivots, quality, sharding, tokens
+from llm import classifier, html, minhash, mixing, pivots, quality, sharding, suffix, tokens
 from llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, drop=("text",)).select("doc_id", "_quality.*")
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix.without_repeats(docs, drop=("text",)).select("doc_id", "_cut.*")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.token_counts(docs, str(tokenizer_file("word_bpe_49k.json")), drop=("text",))
@@ -59,6 +64,7 @@ def op10_uniform_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_repeated_passages": op2_repeated_passages,
     "op3_token_counts": op3_token_counts,
     "op4_main_text": op4_main_text,
     "op5_embedding_groups": op5_embedding_groups,
