@@ -120,33 +120,56 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _pooled(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, Hashes, np.ndarray]]:
+    """Rows lo to hi - 1 of a batch with their bytes end to end in one hash table, and where each row begins."""
+    sizes = np.array([len(x) for x in batch.column(column).to_pylist()], np.int64)
+    lo = 0
+    while lo < len(sizes):
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), SEGMENT, side="right")))
+        data = np.frombuffer(b"".join(batch.column(column)[lo:hi].to_pylist()), np.uint8)
+        yield lo, hi, Hashes(data), np.cumsum(sizes[lo:hi]) - sizes[lo:hi]
+        lo = hi
+
+
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.names.index(name)).to_numpy(zero_copy_only=False)
+
+
 def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (rid, at, gram, weight, step, first, last, whole, core): STEP offsets before the anchor at a time."""
+    names = ["rid", "at", "gram", "weight", "step", "first", "last", "whole", "core"]
     for b in batches:
-        out = []
-        for rid, at, low, high, gram, weight, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            h = Hashes(np.frombuffer(data, np.uint8))
-            for step in range((at - high) // STEP, (at - low) // STEP + 1):
-                first, last = max(low, at - step * STEP - STEP + 1), min(high, at - step * STEP)
-                whole = h.of(first - low, last - low + LENGTH) ^ _mixed(np.uint64((at - first) * LENGTH + at - last))
-                core = h.of(at - step * STEP - low, at - step * STEP - STEP + 1 + LENGTH - low)
-                out.append((rid, at, gram, weight, step, first, last, int(whole.view(np.int64)), int(core.view(np.int64))))
-        kinds = [*[pa.int64()] * 3, pa.int32(), *[pa.int64()] * 5]
-        names = ["rid", "at", "gram", "weight", "step", "first", "last", "whole", "core"]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+        for lo, hi, h, base in _pooled(b, b.num_columns - 1):
+            rid, at, low, high, gram, weight = (_numbers(b, c)[lo:hi] for c in ("rid", "at", "low", "high", "gram", "weight"))
+            least = (at - high) // STEP
+            n = (at - low) // STEP + 1 - least
+            row = np.repeat(np.arange(hi - lo), n)
+            step = least[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            top = at[row] - step * STEP
+            first, last = np.maximum(low[row], top - STEP + 1), np.minimum(high[row], top)
+            shift = base[row] - low[row]
+            whole = h.of(first + shift, last + shift + LENGTH) ^ _mixed(((at[row] - first) * LENGTH + at[row] - last).astype(np.uint64))
+            # the bytes that all STEP strings share
+            core = h.of(top + shift, top + shift - STEP + 1 + LENGTH)
+            cols = [pa.array(x) for x in (rid[row], at[row], gram[row], weight[row], step, first, last)]
+            yield pa.RecordBatch.from_arrays([*cols, _i64(whole), _i64(core)], names=names)
 
 
 def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (rid, start, offset, gram, weight, name) of single strings."""
     names = ["rid", "start", "offset", "gram", "weight", "name"]
     for b in batches:
-        for rid, at, low, gram, data, step_rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            h = Hashes(np.frombuffer(data, np.uint8))
-            starts = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in step_rows])
-            weights = np.concatenate([np.full(r["last"] + 1 - r["first"], r["weight"], np.int32) for r in step_rows])
-            n = len(starts)
-            cols = [pa.array(np.full(n, rid, np.int64)), pa.array(starts), pa.array(at - starts), pa.array(np.full(n, gram, np.int64)), pa.array(weights)]
-            yield pa.RecordBatch.from_arrays([*cols, _i64(h.of(starts - low, starts - low + LENGTH))], names=names)
+        steps = b.column(b.num_columns - 1).to_pylist()
+        for lo, hi, h, base in _pooled(b, b.num_columns - 2):
+            rid, at, low, gram = (_numbers(b, c)[lo:hi] for c in ("rid", "at", "low", "gram"))
+            flat = [(k, r["first"], r["last"], r["weight"]) for k, rows in enumerate(steps[lo:hi]) for r in rows]
+            row, first, last, weight = (np.array(x, np.int64) for x in zip(*flat, strict=True))
+            n = last + 1 - first
+            start = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row, weight = np.repeat(row, n), np.repeat(weight, n).astype(np.int32)
+            here = start - low[row] + base[row]
+            cols = [pa.array(x) for x in (rid[row], start, at[row] - start, gram[row], weight)]
+            yield pa.RecordBatch.from_arrays([*cols, _i64(h.of(here, here + LENGTH))], names=names)
 
 
 def repeated_ranges(texts: DataFrame) -> DataFrame:
@@ -156,7 +179,7 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     """
     kinds = "rid long, at long, low long, high long, gram long, name long"
     found = texts.mapInArrow(_anchored, kinds)
-    grams = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    grams = stash(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     left = stash(found.join(grams, "gram"), "anchors")
     names = stash(
         left.groupBy("gram", "name").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at", "low", "high")).alias("one")), "names"
