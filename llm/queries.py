@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_file
 
-from llm import classifier, html, minhash, mixing, pivots, quality, sharding, suffix, tokens
+from llm import classifier, html, minhash, mixing, pieces, pivots, quality, sharding, suffix, tokens
 from llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op5_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), str(tokenizer_file("piece_bpe_32k.model")))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_counts": op3_token_counts,
     "op4_main_text": op4_main_text,
     "op5_embedding_groups": op5_embedding_groups,
+    "op6_sentence_pieces": op6_sentence_pieces,
     "op7_source_mix": op7_source_mix,
     "op8_quality_scores": op8_quality_scores,
     "op9_minhash_groups": op9_minhash_groups,
