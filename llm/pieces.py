@@ -110,16 +110,23 @@ def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
 
 
+def _field(edge: Column, low: int, bits: int) -> Column:
+    return F.call_function("shiftrightunsigned", edge, F.lit(low)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+
 def _folded(unit: Column, edges: Column, first_byte: int) -> Column:
-    """Ids of a unit from its edges (start, end, cost, id): bits 0 to n of a long mark where segments begin and end."""
+    """Ids of a unit from its edges, longs of (merge rank, start, end, id) from high to low bits.
+
+    Bits 0 to n of a long mark where segments begin and end; an edge fits when it spans exactly two segments.
+    """
     n = F.length(unit)
+    joining = F.filter(edges, lambda e: _field(e, 16, 6) > _field(e, 22, 6) + 1)
     merges = F.transform(
-        F.array_sort(
-            F.transform(
-                F.filter(edges, lambda e: e.end > e.start + 1), lambda e: F.struct(e.cost.alias("cost"), e.start.alias("start"), e.end.alias("end"))
-            )
+        F.sort_array(joining),
+        lambda e: F.struct(
+            _bit(_field(e, 22, 6)).bitwiseOR(_bit(_field(e, 16, 6))).alias("ends"),
+            (_bit(_field(e, 16, 6)) - _bit(_field(e, 22, 6) + 1)).alias("inner"),
         ),
-        lambda e: F.struct(_bit(e.start).bitwiseOR(_bit(e.end)).alias("ends"), (_bit(e.end) - _bit(e.start + 1)).alias("inner")),
     )
 
     def best(mask: Column, steps: Column) -> Column:
@@ -127,48 +134,52 @@ def _folded(unit: Column, edges: Column, first_byte: int) -> Column:
         return F.coalesce(mask.bitwiseAND(F.bitwise_not(F.get(fits, F.lit(0))["inner"])), mask)
 
     def marks(steps: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), _bit(n + 1) - 1, lambda mask, _: best(mask, steps))
-
-    def segments(mask: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), n), lambda i: mask.bitwiseAND(_bit(i)) != 0)
-        return F.transform(F.array(at), lambda b: F.zip_with(F.slice(b, 1, F.size(b) - 1), F.slice(b, 2, F.size(b) - 1), lambda s, e: F.struct(s.alias("s"), e.alias("e"))))[0]
+        rounds = F.slice(F.sequence(F.lit(1), F.greatest(n, F.lit(2))), F.lit(1), F.least(n - 1, F.size(steps)))
+        return F.aggregate(rounds, _bit(n + 1) - 1, lambda mask, _: best(mask, steps))
 
-    def ids(g: Column) -> Column:
-        known = F.get(F.filter(edges, lambda e: (e.start == g.s) & (e.end == g.e)), F.lit(0))["id"]
-        raw = F.hex(F.encode(F.substring(unit, g.s + 1, g.e - g.s), "UTF-8"))
+    def ids(s: Column, e: Column) -> Column:
+        span = s.cast("long") * 64 + e
+        known = F.get(F.filter(edges, lambda x: F.call_function("shiftrightunsigned", x, F.lit(16)).bitwiseAND(F.lit(4095)) == span), F.lit(0))
+        raw = F.hex(F.encode(F.substring(unit, s + 1, e - s), "UTF-8"))
         fallback = F.transform(
             F.sequence(F.lit(1), F.length(raw), F.lit(2)),
             lambda k: F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int") + first_byte,
         )
-        return F.when(known.isNotNull(), F.array(known)).otherwise(fallback)
+        return F.when(known.isNotNull(), F.array(_field(known, 0, 16))).otherwise(fallback)
+
+    def path(mask: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), n), lambda i: mask.bitwiseAND(_bit(i)) != 0)
+        return F.flatten(F.transform(F.array(at), lambda b: F.zip_with(F.slice(b, F.lit(1), F.size(b) - 1), F.slice(b, F.lit(2), F.size(b) - 1), ids))[0])
 
-    mask = F.transform(F.array(merges), marks)[0]
-    return F.flatten(F.transform(F.array(mask), lambda m: F.flatten(F.transform(segments(m), ids))))
+    return F.flatten(F.transform(F.transform(F.array(merges), marks), path))
 
 
 def encoded_units(units: DataFrame, model: Model) -> DataFrame:
     """Rows (unit, n, ids) of rows (unit, n), n added up per unit: lattice, group, fold."""
     spark = units.sparkSession
-    rows = [(p, i, -model.scores[p]) for p, i in model.ids.items()] + [("", -1, 0.0)]
-    table = F.broadcast(spark.createDataFrame(rows, "piece string, id int, cost double"))
+    order = {c: k for k, c in enumerate(sorted({-s for s in model.scores.values()}))}
+    rows = [(p, (order[-model.scores[p]] << 28) | i) for p, i in model.ids.items()] + [("", -1)]
+    # joined on a hash, which is a long and much cheaper to look up, and then compared as text
+    table = F.broadcast(spark.createDataFrame(rows, "name string, mark long").withColumn("hash", F.xxhash64("name")))
     distinct = units.groupBy("unit").agg(F.sum("n").alias("n"))
     n = F.length("unit")
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda s: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(model.longest), n - s)),
-                lambda k: F.struct(s.alias("start"), (s + k).alias("end"), F.substring(F.col("unit"), s + 1, k).alias("piece")),
+    # the empty substring at the start keeps units without edges
+    starts = distinct.select("unit", "n", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    first = F.when(F.col("start") == 0, F.lit(0)).otherwise(F.lit(1))
+    spans = starts.select("unit", "n", "start", F.explode(F.sequence(first, F.least(F.lit(model.longest), n - F.col("start")))).alias("size"))
+    named = spans.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("size")))
+    same = F.startswith("piece", "name") & F.startswith("name", "piece")
+    lattice = named.withColumn("hash", F.xxhash64("piece")).join(table, "hash").where(same).select(
+        "unit", "n",
+        F.when(
+            F.col("size") > 0,
+            F.col("mark").bitwiseOR(F.call_function("shiftleft", F.col("start").cast("long"), F.lit(22))).bitwiseOR(
+                F.call_function("shiftleft", (F.col("start") + F.col("size")).cast("long"), F.lit(16))
             ),
-        )
-    )
-    none = F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit("").alias("piece")))  # keeps units without edges
-    lattice = distinct.select("unit", "n", F.explode(F.concat(spans, none)).alias("span")).select("unit", "n", "span.*").join(table, "piece")
-    edges = lattice.groupBy("unit").agg(
-        F.first("n").alias("n"), F.collect_list(F.struct("start", "end", "cost", "id")).alias("edges")
-    )
-    real = F.filter("edges", lambda e: e.start >= 0)
-    return edges.select("unit", "n", real.alias("edges")).select("unit", "n", _folded(F.col("unit"), F.col("edges"), model.bytes[0]).alias("ids"))
+        ).alias("edge"),
+    )
+    edges = lattice.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list("edge").alias("edges"))
+    return edges.select("unit", "n", _folded(F.col("unit"), F.col("edges"), model.bytes[0]).alias("ids"))
 
 
 def _frequent(units: DataFrame) -> pa.Table:
