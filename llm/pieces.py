@@ -6,7 +6,9 @@ them with Spark's higher-order ``aggregate`` picks the path. The model's pieces
 the fold takes the best-scoring edge that joins two neighbouring segments until none is left, which is how such a
 model encodes; a sum of scores along the path would give other pieces.
 
-Frequent units come back to the texts as a dictionary of bounded size, all others through a join.
+Units that occur often are encoded this way, once each, and reach the texts as a dictionary of bounded size. The many
+units that occur a few times are merged by the same rule where they are met, since joining them with the lattice and
+back to their texts costs several times the work (figures in the README); units beyond the fold's length are, too.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -27,7 +29,8 @@ from llm.common import stash
 
 BAR = "▁"  # stands for a space
 FOLDED = 60  # characters of a unit that the fold handles, as bits of a long; longer ones are merged where they are met
-DICTIONARY = 1 << 19  # frequent units sent to every executor
+DICTIONARY = 1 << 18  # frequent units that are encoded by the lattice and sent to every executor
+_MEMO = 1 << 18
 _UNITS = re.compile(f"{BAR}*[^{BAR}]+|{BAR}+")
 
 
@@ -54,15 +57,15 @@ class Model:
 
     def units(self, text: str) -> list[str]:
         """The text as units: a run of spaces with what follows, cut further where no piece has both neighbours."""
-        out = []
         if not text:
-            return out
-        for u in _UNITS.findall(BAR + text.replace(" ", BAR)):
-            if len(u) <= FOLDED:
-                out.append(u)
-                continue
+            return []
+        found = _UNITS.findall(BAR + text.replace(" ", BAR))
+        if max(map(len, found)) <= FOLDED:
+            return found
+        out = []
+        for u in found:
             start = 0
-            for k in range(1, len(u)):
+            for k in range(1, len(u)) if len(u) > FOLDED else ():
                 if u[k - 1 : k + 1] not in self.pairs:
                     out.append(u[start:k])
                     start = k
@@ -182,27 +185,28 @@ def encoded_units(units: DataFrame, model: Model) -> DataFrame:
     return edges.select("unit", "n", _folded(F.col("unit"), F.col("edges"), model.bytes[0]).alias("ids"))
 
 
-def _frequent(units: DataFrame) -> pa.Table:
-    """The most frequent units with their ids, at most DICTIONARY of them."""
-    spread = sorted(units.groupBy("n").agg(F.count("*").alias("units")).where("n > 1").collect(), reverse=True)
+def frequent_units(counts: DataFrame, model: Model) -> pa.Table:
+    """The most frequent units of rows (unit, n) with their ids, at most DICTIONARY of them."""
+    units = stash(counts.where(F.length("unit") <= FOLDED).groupBy("unit").agg(F.sum("n").alias("n")), "units")
+    spread = sorted(units.groupBy("n").agg(F.count("*").alias("units")).collect(), reverse=True)
     room, least = DICTIONARY, None
     for n, k in spread:
         if k > room:
             break
         room, least = room - k, n
-    if least is None:
-        return pa.table({"unit": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
-    return units.where(F.col("n") >= least).select("unit", "ids").toArrow()
+    chosen = units.where(F.col("n") >= least) if least is not None else units.limit(0)
+    return encoded_units(chosen, model).select("unit", "ids").toArrow()
 
 
 _dictionaries: dict[str, dict[str, bytes]] = {}
+_met: dict[str, bytes] = {}
 
 
 def _dictionary(shared) -> dict[str, bytes]:
     """The broadcast table as a dictionary, built once per process; only the latest one is kept."""
     name, table = shared.value
     if name not in _dictionaries:
-        _dictionaries.clear()
+        _dictionaries.clear(), _met.clear()
         out = {}
         for batch in table.to_batches(max_chunksize=65_536):
             ids = batch.column(1)
@@ -212,87 +216,66 @@ def _dictionary(shared) -> dict[str, bytes]:
     return _dictionaries[name]
 
 
+def _rare(unit: str, model: Model) -> bytes:
+    ids = _met.get(unit)
+    if ids is None:
+        ids = model.merged(unit)
+        if len(unit) <= FOLDED:
+            if len(_met) >= _MEMO:
+                _met.clear()
+            _met[unit] = ids
+    return ids
+
+
 def encoded(df: DataFrame, path: str, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ids (array of int), n_pieces and round_trip, whether decoding the ids gives the text again.
 
     NULL and empty texts have no pieces. Texts are encoded whole. A bar (U+2581) in a text decodes to a space, so
     round_trip is false there. Columns of those names are replaced, others stay except those in ``drop``. An empty
-    table gives an empty result. Equal texts are recognized by a 64-bit hash.
+    table gives an empty result. Which units are in the dictionary changes the time, never the result.
     """
-    spark = df.sparkSession
     model = Model(path)
     cols = [c for c in df.columns if c not in ("ids", "n_pieces", "round_trip")]
-    kept = {c: f"c{i}" for i, c in enumerate(cols) if c not in drop}
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    plain = df.select(F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("rid"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
 
         def flushed():
-            out = pa.RecordBatch.from_pydict({"unit": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+            often = [(u, n) for u, n in counts.items() if n > 1]  # once in a task is not often
             counts.clear()
-            return out
+            return pa.RecordBatch.from_pydict({"unit": pa.array([u for u, _ in often], pa.string()), "n": pa.array([n for _, n in often], pa.int64())})
 
         for b in batches:
             for t in b.column(0):
                 counts.update(model.units(t.as_py() or ""))
-                if len(counts) > DICTIONARY:
+                if len(counts) > 4 * DICTIONARY:
                     yield flushed()
         yield flushed()
 
-    found = plain.select("text").mapInArrow(counted, "unit string, n long")
-    units = stash(encoded_units(found.where(F.length("unit") <= FOLDED), model), "units")
-    shared = spark.sparkContext.broadcast((units.stash_path, _frequent(units)))
-
-    def unusual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = _dictionary(shared), set()
-        for b in batches:
-            rids, out = [], []
-            for t, rid in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                if rid in seen:
-                    continue
-                seen.add(rid)
-                rare = {u for u in model.units(t.as_py() or "") if u not in known and len(u) <= FOLDED}
-                out += rare
-                rids += [rid] * len(rare)
-            yield pa.RecordBatch.from_pydict({"rid": pa.array(rids, pa.int64()), "unit": pa.array(out, pa.string())})
-
-    rare = plain.mapInArrow(unusual, "rid long, unit string").join(units.select("unit", "ids"), "unit")
-    rare = stash(rare.groupBy("rid").agg(F.collect_set(F.struct("unit", "ids")).alias("rare")), "rare")
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            data = [pack.compress((t.as_py() or "").encode("utf-8")) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), *b.columns[1:]], names=b.schema.names)
+    counts = df.select(F.col(f"`{text}`")).mapInArrow(counted, "unit string, n long")
+    shared = df.sparkSession.sparkContext.broadcast((uuid4().hex, frequent_units(counts, model)))
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table, unpack = _dictionary(shared), model.decoder(), zstandard.ZstdDecompressor()
+        known, table = _dictionary(shared), model.decoder()
         for b in batches:
-            texts, ids, good = [], [], []
-            for data, more in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                t = unpack.decompress(data.as_py()).decode("utf-8")
-                own = {m["unit"]: np.array(m["ids"], np.int32).tobytes() for m in more or ()}
-                one = [known.get(u) or own.get(u) or model.merged(u) for u in model.units(t)]
+            ids, good = [], []
+            for t in b.column(at):
+                t = t.as_py() or ""
+                units = model.units(t)
+                one = list(map(known.get, units))
+                if None in one:
+                    one = [x if x is not None else _rare(u, model) for x, u in zip(one, units, strict=True)]
                 ids.append(np.frombuffer(b"".join(one), np.int32))
                 good.append(decode(ids[-1].tolist(), table) == t)
-                texts.append(t)
-            at = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-            old = [pa.array(texts, pa.string())] if text in kept else []
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[2:], *old, flat, pa.array(good, pa.bool_())], names=[*b.schema.names[2:], *(["text"] if old else []), "ids", "round_trip"]
-            )
-
-    others = {c: n for c, n in kept.items() if c != text}
-    source = df.select(F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("rid"), F.col(f"`{text}`").isNull().alias("none"), *[F.col(f"`{c}`").alias(n) for c, n in others.items()])
-    fields = [f"{n} {types[c]}" for c, n in others.items()]
-    small = source.mapInArrow(packed, ", ".join(["data binary", "rid long", "none boolean", *fields]).replace("data", "text", 1))
-    joined = small.join(rare, "rid", "left").select("text", "rare", "none", *others.values())
-    out = joined.mapInArrow(assembled, ", ".join(["none boolean", *fields, *(["text string"] if text in kept else []), "ids array<int>", "round_trip boolean"]))
-    back = [F.when(~F.col("none"), F.col("text")).alias(c) if c == text else F.col(kept[c]).alias(c) for c in kept]
-    return out.select(*back, "ids", F.size("ids").alias("n_pieces"), "round_trip")
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), flat, pa.array(good, pa.bool_())], names=[*(f"c{i}" for i in kept), "ids", "round_trip"])
+
+    at, kept = cols.index(text), [i for i, c in enumerate(cols) if c not in drop]
+    plain = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
+    out = plain.mapInArrow(assembled, ", ".join([*(f"c{i} {types[cols[i]]}" for i in kept), "ids array<int>", "round_trip boolean"]))
+    return out.select(*[F.col(f"c{i}").alias(cols[i]) for i in kept], "ids", F.size("ids").alias("n_pieces"), "round_trip")
 
 
 def decoded(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
