@@ -14,6 +14,7 @@ back to their texts costs several times the work (figures in the README); units
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -44,6 +45,7 @@ class Model:
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.ids = {sp.id_to_piece(i): i for i in plain}
         self.scores = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
+        self.coded = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
         probe = "  a\t ﬁé \r\n "
         if (
@@ -74,6 +76,31 @@ class Model:
 
     def merged(self, unit: str) -> bytes:
         """Ids of one unit, by merging neighbours: best score first, leftmost among equals."""
+        part = self._merged_short(unit) if len(unit) <= FOLDED else self._merged_long(unit)
+        ids = list(map(self.coded.get, part))
+        if None in ids:
+            ids = [b"".join(self.bytes[b].to_bytes(4, "little") for b in p.encode("utf-8")) if x is None else x for x, p in zip(ids, part, strict=True)]
+        return b"".join(ids)
+
+    def _merged_short(self, unit: str) -> list[str]:
+        get, never = self.scores.get, -math.inf
+        part = list(unit)
+        joins = [get(a + b, never) for a, b in zip(part, part[1:], strict=False)]
+        while joins:
+            best = max(joins)
+            if best == never:
+                break
+            i = joins.index(best)
+            part[i] += part.pop(i + 1)
+            del joins[i]
+            if i:
+                joins[i - 1] = get(part[i - 1] + part[i], never)
+            if i < len(joins):
+                joins[i] = get(part[i] + part[i + 1], never)
+        return part
+
+    def _merged_long(self, unit: str) -> list[str]:
+        """The same with a queue."""
         part, scores = list(unit), self.scores
         n = len(part)
         after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(n)
@@ -91,12 +118,7 @@ class Model:
                     heapq.heappush(queue, (-scores[q], i, len(p), q))
             if (k := before[i]) >= 0 and (q := part[k] + p) in scores:
                 heapq.heappush(queue, (-scores[q], k, len(part[k]), q))
-        ids = [x for i in range(n) if not gone[i] for x in self._ids(part[i])]
-        return np.array(ids, np.int32).tobytes()
-
-    def _ids(self, piece: str) -> list[int]:
-        found = self.ids.get(piece)
-        return [found] if found is not None else [self.bytes[b] for b in piece.encode("utf-8")]
+        return [part[i] for i in range(n) if not gone[i]]
 
     def decoder(self) -> dict[int, bytes]:
         table = {i: p.replace(BAR, " ").encode("utf-8") for p, i in self.ids.items()}
@@ -210,7 +232,7 @@ def _dictionary(shared) -> dict[str, bytes]:
         out = {}
         for batch in table.to_batches(max_chunksize=65_536):
             ids = batch.column(1)
-            flat, at = ids.flatten().to_numpy().astype(np.int32), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+            flat, at = ids.flatten().to_numpy().astype("<i4"), ids.offsets.to_numpy() - ids.offsets[0].as_py()
             out.update((u, flat[at[k] : at[k + 1]].tobytes()) for k, u in enumerate(batch.column(0).to_pylist()))
         _dictionaries[name] = out
     return _dictionaries[name]
@@ -266,7 +288,7 @@ def encoded(df: DataFrame, path: str, text: str = "text", drop: tuple[str, ...]
                 one = list(map(known.get, units))
                 if None in one:
                     one = [x if x is not None else _rare(u, model) for x, u in zip(one, units, strict=True)]
-                ids.append(np.frombuffer(b"".join(one), np.int32))
+                ids.append(np.frombuffer(b"".join(one), "<i4"))
                 good.append(decode(ids[-1].tolist(), table) == t)
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
