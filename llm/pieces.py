@@ -30,7 +30,7 @@ from llm.common import stash
 
 BAR = "▁"  # stands for a space
 FOLDED = 60  # characters of a unit that the fold handles, as bits of a long; longer ones are merged where they are met
-DICTIONARY = 1 << 18  # frequent units that are encoded by the lattice and sent to every executor
+DICTIONARY = 1 << 19  # frequent units that are encoded by the lattice and sent to every executor
 _MEMO = 1 << 18
 _UNITS = re.compile(f"{BAR}*[^{BAR}]+|{BAR}+")
 
