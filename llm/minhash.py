@@ -26,7 +26,7 @@ M, HALF = 16, 4
 LEAST_AGREEMENT = 0.6
 BLOCK = 512  # members of a bucket that are compared with each other, or with as many others, in one task
 SLICE = 64  # pairs confirmed against one document in one go
-_MEMO = 1 << 20
+_MEMO = 1 << 18
 
 _LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 _rng = np.random.default_rng(9)

@@ -31,7 +31,8 @@ from llm.common import stash
 BAR = "▁"  # stands for a space
 FOLDED = 60  # characters of a unit that the fold handles, as bits of a long; longer ones are merged where they are met
 DICTIONARY = 1 << 19  # frequent units that are encoded by the lattice and sent to every executor
-_MEMO = 1 << 18
+COUNTED = 1 << 18  # different units that a task counts before it hands them on
+_MEMO = 1 << 17
 _UNITS = re.compile(f"{BAR}*[^{BAR}]+|{BAR}+")
 
 
@@ -271,7 +272,7 @@ def encoded(df: DataFrame, path: str, text: str = "text", drop: tuple[str, ...]
         for b in batches:
             for t in b.column(0):
                 counts.update(model.units(t.as_py() or ""))
-                if len(counts) > 4 * DICTIONARY:
+                if len(counts) > COUNTED:
                     yield flushed()
         yield flushed()
 
