@@ -30,10 +30,10 @@ from llm.common import stash
 
 BAR = "▁"  # stands for a space
 FOLDED = 60  # characters of a unit that the fold handles, as bits of a long; longer ones are merged where they are met
-DICTIONARY = 1 << 19  # frequent units that are encoded by the lattice and sent to every executor
+DICTIONARY = 1 << 18  # frequent units that are encoded by the lattice and sent to every executor
 COUNTED = 1 << 18  # different units that a task counts before it hands them on
-_MEMO = 1 << 17
-_UNITS = re.compile(f"{BAR}*[^{BAR}]+|{BAR}+")
+_MEMO = 1 << 18
+_UNITS = re.compile(f"{BAR}*[^{BAR}\n]+|{BAR}+|\n")
 
 
 class Model:
@@ -52,14 +52,15 @@ class Model:
         if (
             len(self.bytes) != 256
             or list(self.bytes[b] - self.bytes[0] for b in range(256)) != list(range(256))
-            or any(re.search(f"[^{BAR}]{BAR}", p) for p in self.ids)
+            or any(re.search(f"[^{BAR}]{BAR}|\n", p) for p in self.ids)
             or sp.decode(sp.encode(probe)) != probe
         ):
             raise ValueError(f"{path}: only models with byte fallback and without normalization can be used")
         self.pairs = frozenset(p[k : k + 2] for p in self.ids for k in range(len(p) - 1))
 
     def units(self, text: str) -> list[str]:
-        """The text as units: a run of spaces with what follows, cut further where no piece has both neighbours."""
+        """The text as units: a run of spaces with what follows, line ends, and long ones cut where no piece has both
+        neighbours."""
         if not text:
             return []
         found = _UNITS.findall(BAR + text.replace(" ", BAR))
