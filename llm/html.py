@@ -46,6 +46,7 @@ _FRAME = frozenset(
     "copyright toolbar complementary contentinfo skip".split()
 )
 _MAIN = frozenset(("article", "main"))
+_PLACED = frozenset("div section table ul ol dl center details".split())
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "body": {"head"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
@@ -58,7 +59,7 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.names, self.path, self.children = [-1], [""], [frozenset()], ["/"], [[]]
-        self.hidden, self.holds_main = [False], [False]
+        self.hidden, self.holds_main, self.same = [False], [False], [{}]
         self.runs: list[tuple[int, int, str]] = []  # (block, node, text)
         self._read(source)
 
@@ -75,7 +76,9 @@ class Page:
                     parts += _PART.findall(value)
                     own += "." + value if name == "class" else ""
         self.parent.append(parent), self.tag.append(tag), self.names.append(frozenset(parts)), self.children.append([])
-        self.path.append(f"{self.path[parent]}{tag}{own}/"), self.hidden.append(hidden), self.holds_main.append(tag in _MAIN)
+        place = self.same[parent][tag + own] = self.same[parent].get(tag + own, 0) + 1
+        number = place if tag in _PLACED else ""  # containers differ by place, paragraphs and items do not
+        self.same.append({}), self.path.append(f"{self.path[parent]}{tag}{own}{number}/"), self.hidden.append(hidden), self.holds_main.append(tag in _MAIN)
         self.children[parent].append(tag + own)
         at = len(self.tag) - 1
         while tag in _MAIN and parent > 0 and not self.holds_main[parent]:
