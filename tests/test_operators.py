@@ -244,3 +244,25 @@ def test_recent_replays_can_be_dropped_in_the_stream(spark, lake):
     )
     query.awaitTermination()
     assert spark.read.parquet(out).count() == 5
+
+
+def test_only_whole_rows_are_decodable(spark):
+    from usagelake import fixed_values as fx
+    from usagelake.streaming import store
+
+    row = '{"org_id":"o","ts_ns":5,"dedup_id":"d"%s}'
+    values = [row % "", row % ',"value":1.5', "5", "null", "[]", '"x"', "{}", '{"broken":', '{"ts_ns":"abc","org_id":"o","dedup_id":"d"}', None]
+    for topic in (fx.EVENTS_TOPIC, fx.METRICS_TOPIC):
+        messages = spark.createDataFrame([(topic, "k", v) for v in values], "topic string, key string, value string")
+        good, dead = store.dlq_split(messages)
+        assert good.count() == 2 and dead.count() == len(values) - 2
+
+
+def test_quantiles_with_infinities(spark):
+    from usagelake.operators.quantile import exact_quantiles
+
+    inf = float("inf")
+    rows = spark.createDataFrame([("a", v) for v in (-inf, 1.0, 2.0, 3.0, inf)] + [("b", inf)], "k string, v double")
+    got = {r.k: (r.low, r.mid, r.high) for r in exact_quantiles(rows, ["k"], "v", {"low": 0.25, "mid": 0.5, "high": 0.75}).collect()}
+    assert got["a"] == (1.0, 2.0, 3.0)
+    assert got["b"][1] == inf or got["b"][1] != got["b"][1]

@@ -50,6 +50,7 @@ def number_text(value: Column) -> Column:
     )
     return (
         F.when(F.isnan(value), F.lit("NaN"))
+        .when(size == float("inf"), F.when(value > 0, F.lit("Infinity")).otherwise(F.lit("-Infinity")))
         .when(integral, value.cast("bigint").cast("string"))
         .when((size >= 1e21) | (size < 1e-6), scientific)
         .when(raw.contains("E"), fixed)

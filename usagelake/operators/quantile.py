@@ -14,9 +14,10 @@ _SLICES = 64
 
 
 def _slice(value: Column) -> Column:
-    """Order-preserving slice number of a value."""
+    """Order-preserving slice number of a value; infinities and NaN have slices of their own at the ends."""
     size = F.floor(F.log2(F.abs(value)) * _SLICES) + F.lit(100_000)
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
+    ends = F.when(F.isnan(value), F.lit(1 << 20)).when(F.abs(value) == float("inf"), F.signum(value).cast("long") * (1 << 19))
+    return ends.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
 
 
 def exact_quantiles(

@@ -42,13 +42,19 @@ def to_messages(rows: DataFrame, topic: str) -> DataFrame:
     )
 
 
+#: Most input of one micro-batch, so that a first run over a long log goes through it in bounded steps.
+PER_TRIGGER = {"maxFilesPerTrigger": 64, "maxOffsetsPerTrigger": 5_000_000}
+
+
 def canonical_source(spark, path: str | None = None, format: str = "parquet", **options) -> DataFrame:
     """Stream of messages from the beginning of the durable log.
 
     A folder of files by default; ``format='kafka'`` with ``subscribe`` works
-    where that connector is installed.
+    where that connector is installed. ``PER_TRIGGER`` bounds a micro-batch unless
+    ``options`` set another bound.
     """
-    reader = spark.readStream.format(format).options(**options)
+    bound = "maxOffsetsPerTrigger" if format == "kafka" else "maxFilesPerTrigger"
+    reader = spark.readStream.format(format).options(**{bound: PER_TRIGGER[bound]} | options)
     if format == "kafka":
         source = reader.option("startingOffsets", "earliest").load()
         return source.select("topic", F.col("key").cast("string"), F.col("value").cast("string"))
