@@ -73,8 +73,9 @@ e0 AS (
     CASE WHEN i % 97 = 0 THEN '' ELSE 's' || u || '-' || strftime(ts, '%Y-%m-%d') END AS session_id,
     'p' || (i // 3) AS correlation_id, '1.' || (k % 3) AS app_version,
     CASE WHEN k % 6 = 5 THEN NULL ELSE 'model-' || (k % 6) END AS model,
+    CASE WHEN k % 7 = 3 AND i % 2 = 0 THEN 'Tool-' || (i % 60) ELSE
     CASE k % 7 WHEN 0 THEN 'Bash' WHEN 1 THEN 'Edit' WHEN 2 THEN 'Read' WHEN 3 THEN 'Grep'
-      WHEN 4 THEN 'mcp__github__search' WHEN 5 THEN 'mcp__a__b__c' END AS tool_name,
+      WHEN 4 THEN 'mcp__github__search' WHEN 5 THEN 'mcp__a__b__c' END END AS tool_name,
     CASE k % 7 WHEN 4 THEN 'github' WHEN 5 THEN 'a' END AS mcp_server,
     CASE k % 7 WHEN 4 THEN 'search' WHEN 5 THEN 'b__c' END AS mcp_tool,
     CASE WHEN i % 5 < 4 THEN 'true' ELSE 'false' END AS success,
@@ -609,10 +610,8 @@ ORACLE |= {
           count(DISTINCT user_hash) AS active_users, count(DISTINCT session_id) AS sessions FROM m),
         b AS (SELECT count(*) FILTER (event_type = 'api_request') AS req, count(*) FILTER (event_type = 'api_error') AS err
               FROM e),
-        c AS (SELECT sum(n) AS tool_calls FROM (SELECT tool_name, count(*) AS n FROM e WHERE {_RESULT} GROUP BY 1
-              ORDER BY n DESC, tool_name LIMIT 20)),
-        d AS (SELECT sum(n) AS runs FROM (SELECT agent_name, count(*) AS n FROM e WHERE agent_name IS NOT NULL GROUP BY 1
-              ORDER BY n DESC, agent_name LIMIT 20))
+        c AS (SELECT count(*) AS tool_calls FROM e WHERE {_RESULT}),
+        d AS (SELECT count(*) AS runs FROM e WHERE agent_name IS NOT NULL)
         SELECT round(total_cost, 6) AS total_cost, round(total_tokens, 6) AS total_tokens,
           round(total_lines, 6) AS total_lines, round(active_seconds / 60, 6) AS active_minutes,
           round(commits, 6) AS commits, round(pull_requests, 6) AS pull_requests, active_users, sessions,
@@ -622,12 +621,12 @@ ORACLE |= {
           round(100 * ok / nullif(ok + no, 0), 6) AS edit_accept_pct,
           round(100 * reads / nullif(reads + created, 0), 6) AS cache_reuse_pct,
           {dbl('100 * CAST(err AS DOUBLE) / nullif(req, 0)')} AS api_error_pct FROM a, b, c, d""",
-    "tool_insights": f"""{E}, {_TOOLS_LIST}, top500 AS (SELECT * FROM tl ORDER BY uses DESC, tool LIMIT 500)
+    "tool_insights": f"""{E}, {_TOOLS_LIST}
         SELECT {big('coalesce(sum(uses), 0)')} AS calls, count(*) AS distinct_tools,
           {big('coalesce(sum(reject + block), 0)')} AS rejected_or_blocked,
           {opt('100 * sum(uses * success_rate) / nullif(sum(uses), 0)')} AS success_pct,
           {opt("100 * CAST(coalesce(sum(uses) FILTER (mcp_server <> ''), 0) AS DOUBLE) / nullif(sum(uses), 0)")}
-            AS mcp_share_pct FROM top500""",
+            AS mcp_share_pct FROM tl""",
     "tool_weighted_success": f"""{E}SELECT count(*) AS uses,
         {dbl("CAST(count(*) FILTER (success = 'true') AS DOUBLE) / nullif(count(*), 0)")} AS success_rate
         FROM e WHERE {_BY_TOOL}""",
@@ -653,18 +652,15 @@ ORACLE |= {
         FROM (SELECT unnest(range(24)) AS h) LEFT JOIN (SELECT hour(ts) AS h, count(*) AS n, sum(cost_usd) AS c FROM e
               WHERE event_type = 'api_request' GROUP BY 1) USING (h)""",
     "detail_totals": f"""{_BOTH},
-        team_top AS (SELECT user_hash, sum(value) FILTER ({TOKENS}) AS tokens, count(DISTINCT session_id) AS sessions
-          FROM mt WHERE {_IN_TEAM} GROUP BY 1
-          ORDER BY coalesce(sum(value) FILTER ({COST}), 0) DESC, user_hash LIMIT 100),
-        user_tools AS (SELECT tool_name, count(*) AS n FROM e WHERE {_RESULT} AND {_BY_USER} GROUP BY 1
-          ORDER BY n DESC, tool_name LIMIT 20)
+        members AS (SELECT user_hash, sum(value) FILTER ({TOKENS}) AS tokens, count(DISTINCT session_id) AS sessions
+          FROM mt WHERE {_IN_TEAM} GROUP BY 1)
         SELECT 'person' AS page, {dbl(f'(SELECT sum(value) FROM m WHERE {COST} AND {_BY_USER})')} AS cost,
           {dbl(f'(SELECT sum(value) FROM m WHERE {TOKENS} AND {_BY_USER})')} AS tokens,
-          {dbl('(SELECT sum(n) FROM user_tools)')} AS uses
+          {dbl(f'(SELECT count(*) FROM e WHERE {_RESULT} AND {_BY_USER})')} AS uses
         UNION ALL SELECT 'model', {dbl(f"(SELECT sum(value) FROM m WHERE {_BY_MODEL})")},
           {dbl(f"(SELECT sum(value) FROM m WHERE {TOKENS} AND model = '{MODEL}')")}, 0
         UNION ALL SELECT 'team', {dbl(f'(SELECT sum(value) FROM mt WHERE {COST} AND {_IN_TEAM})')},
-          {dbl('(SELECT sum(tokens) FROM team_top)')}, {dbl('(SELECT sum(sessions) FROM team_top)')}
+          {dbl('(SELECT sum(tokens) FROM members)')}, {dbl('(SELECT sum(sessions) FROM members)')}
         UNION ALL SELECT 'agent', 0, {dbl(f'(SELECT sum(total_tokens) FROM e WHERE {_BY_AGENT})')},
           {dbl(f'(SELECT count(*) FROM e WHERE {_BY_AGENT})')}""",
     "reliability_rate": f"""{E}, t AS ({_TOTALS}) SELECT api_requests, api_errors, refusals,

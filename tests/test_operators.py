@@ -13,6 +13,7 @@ from usagelake.operators.relational import scope
 from usagelake.operators.replace import replace_by_key, replace_metrics, retention_rows, schema_evolve
 from usagelake.plans import capabilities, derived, health, overview, people, teams, tools
 from usagelake.plans.repository import Analytics, DateRange
+from usagelake.session import work_dir
 from usagelake.sources import tables
 from usagelake.sources.testdata import directory_files
 from usagelake.streaming import ingest, store
@@ -168,6 +169,39 @@ def test_empty_range_gives_zeros(lake):
     assert derived.overview_kpis(api.metrics(r), api.events(r)).first().edit_accept_pct is None
 
 
+def test_totals_go_beyond_the_lists(spark):
+    n, day = F.col("id"), F.lit("2024-01-05").cast("date").alias("event_date")
+    dims = F.create_map(
+        F.lit("tool_name"), F.concat(F.lit("t"), n), F.lit("agent.name"), F.concat(F.lit("a"), n % 30)
+    )
+    e = spark.range(600).select(
+        F.lit("tool_result").alias("event_type"), dims.alias("dims"),
+        F.create_map().cast("map<string,double>").alias("numbers"), F.lit("").alias("decision"),
+        F.lit("u0").alias("user_hash"), n.alias("ts_ns"), n.cast("string").alias("dedup_id"), day,
+    )
+    m = spark.range(120).select(
+        F.lit("token.usage").alias("name"), F.lit("").alias("subtype"), F.lit("").alias("decision"),
+        F.lit("").alias("model"), F.lit(1.0).alias("value"), F.concat(F.lit("u"), n).alias("user_hash"),
+        F.concat(F.lit("s"), n).alias("session_id"), day,
+    )
+    kpis, insights = derived.overview_kpis(m, e).first(), derived.tool_insights(e).first()
+    assert (kpis.tool_calls, kpis.subagent_runs) == (600, 600)
+    assert (insights.calls, insights.distinct_tools) == (600, 600)
+    membership = m.select(F.col("user_hash").alias("account_hash"), F.lit("all").alias("team"))
+    pages = {r.page: r for r in derived.detail_totals(m, e, membership, "u0", "x", "all", "x").collect()}
+    assert pages["person"].uses == 600
+    assert (pages["team"].tokens, pages["team"].uses) == (120.0, 120.0)
+
+
+def test_a_cluster_session_must_name_the_shared_folder():
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: {"spark.master": "spark://x"}.get(key, default))
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        work_dir(Cluster)
+
+
 def test_prior_range():
     assert derived.prior_range("2024-01-05", "2024-01-25") == ("2023-12-15", "2024-01-04")
     assert derived.prior_range("2024-03-01", "2024-03-01") == ("2024-02-29", "2024-02-29")

@@ -2,7 +2,7 @@
 
 Silver tables are written once per session and input state into the shared
 working folder, so queries scan pruned day partitions instead of repeating the
-replacement shuffle. Without a shared folder the same frames stay lazy.
+replacement shuffle.
 """
 
 from __future__ import annotations
@@ -102,10 +102,7 @@ class Lake:
 
     def scratch(self, purpose: str) -> str:
         """A new folder below the shared working folder."""
-        root = work_dir(self.spark)
-        if root is None:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        return f"{root}/{purpose}-{uuid.uuid4().hex}"
+        return f"{work_dir(self.spark)}/{purpose}-{uuid.uuid4().hex}"
 
     def _written_once(
         self,
@@ -114,8 +111,6 @@ class Lake:
         build: Callable[[], DataFrame],
         write: Callable[[DataFrame, str], None],
     ) -> DataFrame:
-        if work_dir(self.spark) is None:
-            return build()
         paths = tuple(f"{self.sf_dir}/{t}.parquet" for t in inputs)
         key = (self.spark.sparkContext.applicationId, name, paths, _state(self.spark, paths))
         if key not in _written:

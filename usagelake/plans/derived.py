@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelake import fixed_values as fx
-from usagelake.functions.maps import count_if, rate, sum_if, total_of, zero
+from usagelake.functions.maps import count_if, dim, rate, sum_if, total_of, zero
 from usagelake.operators.relational import beside, merge_left
 from usagelake.plans import blocks as b
 from usagelake.plans.capabilities import autonomy_by_mode, hooks_by_event, plugins
 from usagelake.plans.health import reliability_totals
-from usagelake.plans.overview import agent_uses, tools_top
 from usagelake.plans.people import cost_timeseries, of_user
-from usagelake.plans.teams import team_cost_by_day, team_members
-from usagelake.plans.tools import agent_uses_by_day, tool_uses_by_day, tools_list
+from usagelake.plans.teams import member_totals
+from usagelake.plans.tools import agent_uses_by_day, tool_facts, tool_results, tool_uses_by_day
 
 
 def prior_range(first_day: str, last_day: str) -> tuple[str, str]:
@@ -89,13 +88,14 @@ def overview_kpis(m, e) -> DataFrame:
         F.count_distinct("session_id").alias("sessions"),
     )
     kind = F.col("event_type")
+    # Totals over all tools and agents, not over the rows of their top lists.
     from_events = e.agg(
-        count_if(kind == "api_request").alias("_requests"), count_if(kind == "api_error").alias("_errors")
+        count_if(kind == "api_request").alias("_requests"),
+        count_if(kind == "api_error").alias("_errors"),
+        count_if((kind == "tool_result") & (dim(e, "tool_name") != "")).alias("tool_calls"),
+        count_if(dim(e, "agent.name") != "").alias("subagent_runs"),
     )
-    # As displayed, tool calls and agent runs add up the top lists.
-    calls = tools_top(e).agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("tool_calls"))
-    runs = agent_uses(e).agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("subagent_runs"))
-    row = beside(from_metrics, from_events, calls, runs)
+    row = beside(from_metrics, from_events)
     return row.select(
         "total_cost",
         "total_tokens",
@@ -116,11 +116,12 @@ def overview_kpis(m, e) -> DataFrame:
 
 
 def tool_insights(e) -> DataFrame:
+    """Figures over all tools, beyond the rows of the tool list too."""
     uses = F.col("uses")
-    sums = tools_list(e).agg(
+    sums = tool_facts(e).agg(
         F.coalesce(F.sum("uses"), F.lit(0)).alias("calls"),
         F.count("*").alias("distinct_tools"),
-        zero(F.sum(uses * F.col("success_rate"))).alias("_ok"),
+        F.coalesce(F.sum("ok"), F.lit(0)).alias("_ok"),
         F.coalesce(F.sum(F.col("reject") + F.col("block")), F.lit(0)).alias("rejected_or_blocked"),
         F.coalesce(F.sum(F.when(F.col("mcp_server") != "", uses)), F.lit(0)).alias("_mcp"),
     )
@@ -232,16 +233,15 @@ def detail_totals(m, e, membership, user: str, model: str, team: str, agent: str
             ],
         )
 
-    person_tool_uses = b.tool_usage(of_user(e, user)).agg(F.sum("uses").alias("uses"))
-    team_cost = team_cost_by_day(m, membership, team).agg(zero(F.sum("cost")).alias("cost"))
-    team_size = team_members(m, membership, team).agg(
-        zero(F.sum("tokens")).alias("tokens"), F.sum("sessions").alias("uses")
+    person_tool_uses = tool_results(of_user(e, user)).agg(F.count("*").alias("uses"))
+    whole_team = member_totals(m, membership, team).agg(
+        total_of(F.col("cost")).alias("cost"), total_of(F.col("tokens")).alias("tokens"), F.sum("sessions").alias("uses")
     )
     agent_days = agent_uses_by_day(e, agent).agg(F.sum("uses").alias("uses"), zero(F.sum("tokens")).alias("tokens"))
     pages = [
         page("person", spend(of_user(m, user)), person_tool_uses),
         page("model", spend(m.where(F.col("model") == F.lit(model)))),
-        page("team", team_cost, team_size),
+        page("team", whole_team),
         page("agent", agent_days),
     ]
     stacked = pages[0]

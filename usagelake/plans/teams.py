@@ -42,13 +42,17 @@ def team_cost_by_day(m, membership, team):
     return b.sum_by_day(_in_team(daily, membership, team), "cost")
 
 
-def team_members(m, membership, team):
-    per_user = _in_team(_session_totals(m), membership, team).groupBy("user_hash").agg(
+def member_totals(m, membership, team):
+    """Cost, tokens and sessions of every member."""
+    return _in_team(_session_totals(m), membership, team).groupBy("user_hash").agg(
         total_of(F.col("cost")).alias("cost"),
         total_of(F.col("tokens")).alias("tokens"),
         F.count("session_id").alias("sessions"),  # one row per session already
     )
-    return top_n(per_user, "cost", "user_hash", 100)
+
+
+def team_members(m, membership, team):
+    return top_n(member_totals(m, membership, team), "cost", "user_hash", 100)
 
 
 def team_models(m, membership, team):

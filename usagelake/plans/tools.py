@@ -12,13 +12,28 @@ from usagelake.plans import blocks as b
 from usagelake.plans.overview import agent_tokens
 
 
-def _results(e) -> DataFrame:
+def tool_results(e) -> DataFrame:
     return b.event(e, "tool_result").withColumn("tool", dim(e, "tool_name")).where("tool != ''")
 
 
+def _decisions_by_tool(e) -> DataFrame:
+    decided = b.event(e, "tool_decision").withColumn("tool", dim(e, "tool_name")).where("tool != ''")
+    return decided.groupBy("tool").agg(*b.decisions(decided))
+
+
+def tool_facts(e) -> DataFrame:
+    """Uses, successes, server and decisions of every tool, in no order and without a list's cut."""
+    rows = tool_results(e)
+    usage = rows.groupBy("tool").agg(
+        latest(dim(rows, "mcp_server")).alias("mcp_server"), F.count("*").alias("uses"), b.successes(rows).alias("ok")
+    )
+    missing = {"mcp_server": "", "uses": 0, "ok": 0, "accept": 0, "reject": 0, "block": 0}
+    return merge_full_outer(usage, _decisions_by_tool(e), "tool", missing)
+
+
 def tools_list(e) -> DataFrame:
     """Usage, latency and users per tool merged with its approval decisions."""
-    rows = _results(e)
+    rows = tool_results(e)
     usage = rows.groupBy("tool").agg(
         latest(dim(rows, "mcp_server")).alias("mcp_server"),
         F.count("*").alias("uses"),
@@ -29,10 +44,9 @@ def tools_list(e) -> DataFrame:
     timed = rows.select("tool", number(rows, "duration_ms").alias("_ms"))
     slow = exact_quantiles(timed, ["tool"], "_ms", {"p95_ms": 0.95})
     busiest = top_n(usage, "uses", "tool", 500)
-    decided = b.event(e, "tool_decision").withColumn("tool", dim(e, "tool_name")).where("tool != ''")
     merged = merge_full_outer(
         merge_left(busiest, slow, "tool", {"p95_ms": 0.0}),
-        decided.groupBy("tool").agg(*b.decisions(decided)),
+        _decisions_by_tool(e),
         "tool",
         {
             "mcp_server": "", "uses": 0, "success_rate": 0.0, "avg_ms": 0.0, "users": 0, "p95_ms": 0.0,

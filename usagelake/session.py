@@ -39,22 +39,17 @@ def local_session(cpus: int | str = "*", memory: str = "12g", app: str = "usagel
     return prepare(spark)
 
 
-def is_local(spark: SparkSession) -> bool:
-    return spark.conf.get("spark.master", "").startswith("local")
-
-
-def work_dir(spark: SparkSession) -> str | None:
+def work_dir(spark: SparkSession) -> str:
     """Folder shared by driver and executors for written intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. A single-machine session
-    without that setting gets a fresh temporary folder; a cluster session
-    without it gets None, and callers then keep their plan lazy.
+    A cluster must name it in ``spark.checkpoint.dir``. A single-machine session
+    without that setting gets a fresh temporary folder.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not is_local(spark):
-        return None
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="usagelake-")

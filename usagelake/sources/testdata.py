@@ -193,7 +193,9 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     typed = raw.withColumn("event_type", event_type)
     is_type = lambda t: F.col("event_type") == t
-    tool = _pick(k % 7, "Bash", "Edit", "Read", "Grep", "mcp__github__search", "mcp__a__b__c")
+    known = _pick(k % 7, "Bash", "Edit", "Read", "Grep", "mcp__github__search", "mcp__a__b__c")
+    # thirty tools more, so that lists of twenty are cut
+    tool = F.when((k % 7 == 3) & (i % 2 == 0), _name("Tool-", i % 60)).otherwise(known)
     server, mcp_tool = split_mcp_tool(tool)
     agent = _pick(i % 4, "reviewer", "explorer", "planner")
     plugin, hook = is_type("plugin"), is_type("hook")
