@@ -204,9 +204,11 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
 
     mixed = wholes.groupBy("gram", "core", "step").agg(F.count("*").alias("names"), F.min("n").alias("least")).where("names > 1 and least = 1")
     open_ones = wholes.join(mixed.select("gram", "core", "step"), ["gram", "core", "step"]).select("one.*", F.least("n", F.lit(2)).cast("int").alias("weight"))
-    per_anchor = open_ones.groupBy("rid", "at").agg(F.collect_list(F.struct("first", "last", "weight")).alias("rows"))
+    # an anchor of strings on both sides of a segment's end comes once from each segment
+    part = ["rid", "at", "segment"]
+    per_anchor = open_ones.withColumn("segment", F.expr(f"first div {SEGMENT}")).groupBy(*part).agg(F.collect_list(F.struct("first", "last", "weight")).alias("rows"))
     single = stash(
-        cut.dropDuplicates(["rid", "at"]).join(per_anchor, ["rid", "at"]).select("rid", "at", "low", "gram", "bytes", "rows")
+        cut.withColumn("segment", F.expr(f"low div {SEGMENT}")).dropDuplicates(part).join(per_anchor, part).select("rid", "at", "low", "gram", "bytes", "rows")
         .mapInArrow(_singles, "rid long, start long, offset long, gram long, weight int, name long"),
         "singles",
     )

@@ -11,6 +11,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 from public_tokenizers import path as tokenizer_file
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -95,6 +96,16 @@ def test_repeated_passages(docs, made):
     assert got == sorted(want)
 
 
+def test_repeated_passages_across_segments(docs, made, monkeypatch):
+    monkeypatch.setattr(suffix, "SEGMENT", 450)
+    monkeypatch.setattr(suffix, "_powers", [])
+    cloudpickle.register_pickle_by_value(suffix)  # so that tasks see the smaller segments
+    try:
+        test_repeated_passages(docs, made)
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffix)
+
+
 def test_token_counts(docs):
     library, machine = Tokenizer.from_file(BPE), tokens.compiled(BPE)
     for r in tokens.token_counts(docs, BPE).collect():
