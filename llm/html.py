@@ -2,7 +2,8 @@
 
 The pages of a host are merged into one tree: nodes are element paths (tags with their classes), and each node
 collects how its children are presented and what they contain on all pages. A node whose presentation and content
-hardly vary from page to page, by their normalized entropy, has low importance: it is the site's frame. Such branches
+hardly vary from page to page, by their normalized entropy, has low importance: it is the site's frame. Pages of equal
+nodes are one page to the tree, however often a host repeats them. Such branches
 are removed from each page, with everything that names itself a menu, notice, advert, form, comment and so on.
 """
 
@@ -12,6 +13,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,25 +191,40 @@ def host_of(url: Column) -> Column:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, page, nodes): a hash of the page's nodes, and the nodes as longs of 8 bytes end to end."""
     for b in batches:
-        rows = [(h, *n) for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for n in Page(p or "").nodes()]
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["host", "path", "style", "content"])
+        hosts, nodes = b.column(0).to_pylist(), [np.array(Page(p or "").nodes(), np.int64).tobytes() for p in b.column(1).to_pylist()]
+        rows = [(h, xxh3_64_intdigest(n) - (1 << 63), n) for h, n in zip(hosts, nodes, strict=True) if n]
+        kinds = (pa.string(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["host", "page", "nodes"])
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, page, path, style, content), one per node."""
+    for b in batches:
+        pages = [np.frombuffer(n, np.int64).reshape(-1, 3) for n in b.column(2).to_pylist()]
+        row = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
+        nodes = np.concatenate([np.zeros((0, 3), np.int64), *pages])
+        cols = [b.column(k).take(pa.array(row)) for k in (0, 1)] + [pa.array(nodes[:, k]) for k in range(3)]
+        yield pa.RecordBatch.from_arrays(cols, names=["host", "page", "path", "style", "content"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """Rows (host, path, nodes, importance) of the merged trees of all hosts.
+    """Rows (host, path, nodes, importance) of the merged trees of all hosts, over the different pages of each.
 
-    The entropy of n nodes with values counted c is log n - sum(c log c) / n; divided by log n it is 1 if all differ
+    A path that only one page has says nothing about the site; its importance is 1. The entropy of n nodes with values counted c is log n - sum(c log c) / n; divided by log n it is 1 if all differ
     and 0 if all are equal. Importance is the larger one of presentation and content.
     """
-    nodes = pages.where("host <> ''").select("host", "html").mapInArrow(_merged, "host string, path long, style long, content long")
-    counted = stash(nodes.groupBy("host", "path", "style", "content").agg(F.count("*").alias("n")), "tree")
+    merged = pages.where("host <> ''").select("host", "html").mapInArrow(_merged, "host string, page long, nodes binary")
+    different = merged.groupBy("host", "page").agg(F.first("nodes").alias("nodes")).select("host", "page", "nodes")
+    nodes = different.mapInArrow(_apart, "host string, page long, path long, style long, content long")
+    one = [F.min("page").alias("least"), F.max("page").alias("most")]
+    counted = stash(nodes.groupBy("host", "path", "style", "content").agg(F.count("*").alias("n"), *one), "tree")
 
     def entropy(value: str) -> DataFrame:
-        each = counted.groupBy("host", "path", value).agg(F.sum("n").alias("c"))
-        whole = each.groupBy("host", "path").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("s"))
-        spread = F.when(F.col("n") > 1, 1 - F.col("s") / (F.col("n") * F.log(F.col("n").cast("double")))).otherwise(1.0)
+        each = counted.groupBy("host", "path", value).agg(F.sum("n").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+        whole = each.groupBy("host", "path").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("s"), F.min("least").alias("least"), F.max("most").alias("most"))
+        spread = F.when(F.col("least") < F.col("most"), 1 - F.col("s") / (F.col("n") * F.log(F.col("n").cast("double")))).otherwise(1.0)
         return whole.select("host", "path", F.col("n").alias("nodes"), spread.alias(value))
 
     return entropy("content").join(entropy("style").drop("nodes"), ["host", "path"]).select(
@@ -228,8 +245,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``df`` without its html column, with ``text`` and ``n_chars`` (replaced if present), one row per row.
 
-    NULL or empty pages give empty texts. Pages without a host are read on their own. Repeated pages weigh as often as
-    they occur. Paths that a host has seldom are never judged by entropy, nor are the article itself and its
+    NULL or empty pages give empty texts. Pages without a host are read on their own. Pages of a host with
+    equal nodes weigh once. Paths that a host has seldom are never judged by entropy, nor are the article itself and its
     headline. An empty table gives an empty result; other columns stay.
     """
     cols = [c for c in df.columns if c not in (html, "text", "n_chars")]

@@ -134,6 +134,17 @@ def test_main_text(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_of_copies(spark):
+    page = "<html><body><div><article><h1>News</h1><p>One</p><p>Two</p><h2>More</h2><ul><li>Same</li></ul><p>End</p></article></div></body></html>"
+    list_page = "<html><body><div>" + "<p>Same</p>" * 9 + "</div></body></html>"
+    rows = [(i, f"http://copies.example/{i}", page) for i in range(1000)] + [(5000 + i, f"http://list.example/{i}", list_page) for i in range(20)]
+    rows += [(2000 + i, f"https://shop.example/{i}", SITE.format(f"n{i % 12}")) for i in range(600)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)).collect()}
+    assert {got[i] for i in range(1000)} == {"News\nOne\nTwo\nMore\nSame\nEnd"}
+    assert {got[5000 + i] for i in range(20)} == {"\n".join(["Same"] * 9)}
+    assert all(got[2000 + i] == f"n{i % 12}\nstory n{i % 12} tells n{i % 12} n{i % 12}" for i in range(600))
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 24))
