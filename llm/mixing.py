@@ -2,8 +2,9 @@
 
 Slots 0 to K - 1 carry the points frac((k + 1) * golden ratio). A point falls into the cumulative weights of the
 sources, which names the slot's source, and slots are ranked per source. Each source's documents are shuffled, laid
-end to end, and cut into blocks of equal numbers of words; the slot of rank r takes block r, starting over after the
-last one.
+end to end, starting over after the last one, up to the source's target. What that gives is cut into as many blocks as
+the source has slots, equal to one word; the slot of rank r takes block r. So every source ends at its target, rounded
+to whole words, however long the blocks are.
 """
 
 from __future__ import annotations
@@ -51,37 +52,31 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     )
 
 
-def schedule(shares: DataFrame, total: float, block: int) -> DataFrame:
-    """Rows (slot, key, pass, block): which block of which source each slot takes.
+def schedule(shares: DataFrame, total: float, block: int) -> tuple[DataFrame, dict[str, int]]:
+    """Rows (slot, key, rank), the source of each slot and its rank among the slots of that source; slots per source.
 
-    ``shares`` has (key, target, source_size). The cumulative weights of all sources stand in one array beside each
-    slot; sources are few, documents are not.
+    ``shares`` has (key, target). The cumulative weights of all sources stand in one array beside each slot; sources
+    are few, documents are not. A source with a target that no point falls on gets a slot after the last one.
     """
     spark = shares.sparkSession
     n = max(1, round(total / block))
     up_to = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    ladder = [
-        (r.key, r.top, max(1, -(-r.source_size // block)))
-        for r in shares.where("target > 0").select("key", "source_size", F.sum("target").over(up_to).alias("top")).collect()
-    ]
+    ladder = [(r.key, r.top) for r in shares.where("target > 0").select("key", F.sum("target").over(up_to).alias("top")).collect()]
     if not ladder:
-        return spark.range(0).select(F.col("id").alias("slot"), F.lit("").alias("key"), F.lit(0).cast("long").alias("pass"), F.col("id").alias("block"))
+        return spark.range(0).select(F.col("id").alias("slot"), F.lit("").alias("key"), F.col("id").alias("rank")), {}
     top = ladder[-1][1]
     point = F.col("slot") * F.lit(GOLDEN) + F.lit(GOLDEN)
     at = (point - F.floor(point)) * F.lit(float(top))
-    keys = F.array(*[F.lit(k) for k, _, _ in ladder])
-    tops = F.array(*[F.lit(float(t)) for _, t, _ in ladder[:-1]]).cast("array<double>")
-    counts = F.array(*[F.lit(c).cast("long") for _, _, c in ladder])
-    slots = (
-        spark.range(n)
-        .withColumnRenamed("id", "slot")
-        .withColumn("_s", F.size(F.filter(tops, lambda t: t <= at)) + 1)
-        .select("slot", F.element_at(keys, F.col("_s")).alias("key"), F.element_at(counts, F.col("_s")).alias("blocks"), F.shiftright("slot", 12).alias("part"))
-    )
-    ranked = running_total(slots, ["key"], "part", ["slot"], F.lit(1).cast("long"), "rank")
-    return ranked.select(
-        "slot", "key", F.floor(F.col("rank") / F.col("blocks")).cast("long").alias("pass"), (F.col("rank") % F.col("blocks")).alias("block")
-    ).where(F.col("pass") < MOST)
+    tops = F.array(*[F.lit(float(t)) for _, t in ladder[:-1]]).cast("array<double>")
+    keys = F.array(*[F.lit(k) for k, _ in ladder])
+    slots = spark.range(n).select(F.col("id").alias("slot")).withColumn("key", F.element_at(keys, F.size(F.filter(tops, lambda t: t <= at)) + 1))
+    counts = {r.key: r.n for r in slots.groupBy("key").agg(F.count("*").alias("n")).collect()}
+    missed = [k for k, _ in ladder if k not in counts]
+    if missed:
+        names = F.array(*[F.lit(k) for k in missed])
+        slots = slots.union(spark.range(len(missed)).select(F.col("id") + n, F.element_at(names, (F.col("id") + 1).cast("int"))))
+    ranked = running_total(slots.withColumn("part", F.shiftright("slot", 12)), ["key"], "part", ["slot"], F.lit(1).cast("long"), "rank")
+    return ranked.select("slot", "key", "rank"), counts | dict.fromkeys(missed, 1)
 
 
 def mix(df: DataFrame, identity: list[Column], size: Column, source: Column, slots: int = SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -89,8 +84,8 @@ def mix(df: DataFrame, identity: list[Column], size: Column, source: Column, slo
 
     Rows: (ident, copies, key, source, size, source_size, target, start), where equal identity, size and source make
     one row with a number of copies, lying one after the other from word ``start`` of their source. Pieces: (ident,
-    copy, pass, slot, first, last), words first to last - 1 of that copy. The block length follows from the total, so
-    ``slots`` bounds the schedule at any size. Documents without words are never taken; NULL sources are a source of
+    copy, pass, slot, first, last), words first to last - 1 of that copy. The usual block length follows from the total,
+    so ``slots`` and the number of sources bound the schedule at any size. Documents without words are never taken; NULL sources are a source of
     their own; an empty table gives empty results.
     """
     rows = stash(
@@ -111,18 +106,28 @@ def mix(df: DataFrame, identity: list[Column], size: Column, source: Column, slo
         ["key"], "part", ["ident", "id", "size"], F.col("size") * F.col("copies"), "start",
     )
     rows = stash(placed.join(shares.select("key", "source_size", "target"), "key").drop("part"), "placed")
-    b = F.lit(block).cast("long")
+    slotted, counts = schedule(shares, total, block)
+    # of the words up to the target, the first ``longer`` slots take ``each`` + 1 and the others ``each``
+    source_slots = df.sparkSession.createDataFrame(sorted(counts.items()), "key string, slots long")
+    words_of = shares.select("key", F.round("target").cast("long").alias("goal")).join(source_slots, "key")
+    words_of = words_of.select("key", "goal", F.expr("goal div slots").alias("each"), F.expr("goal % slots").alias("longer"))
+    rank_at = "CASE WHEN {0} < longer * (each + 1) THEN {0} div (each + 1) ELSE longer + ({0} - longer * (each + 1)) div greatest(each, 1) END"
+    start_of = "{0} * each + least({0}, longer)"
     cut = (
         rows.where("size > 0")
+        .join(words_of, "key")
         .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-        .withColumn("begin", F.col("start") + F.col("copy") * F.col("size"))
-        .withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / b), F.floor((F.col("begin") + F.col("size") - 1) / b))))
+        .withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(MOST - 1).cast("long"))))
+        .withColumn("begin", F.col("pass") * F.col("source_size") + F.col("start") + F.col("copy") * F.col("size"))
+        .where("begin < goal")
+        .withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("goal")))
+        .withColumn("rank", F.explode(F.sequence(F.expr(rank_at.format("begin")), F.expr(rank_at.format("(end - 1)")))))
     )
-    taken = cut.join(schedule(shares, total, block), ["key", "block"])
+    taken = cut.join(slotted, ["key", "rank"])
     pieces = taken.select(
         "ident", "id", "source", "size", "copy", "pass", "slot",
-        F.greatest(F.col("block") * b - F.col("begin"), F.lit(0)).alias("first"),
-        F.least((F.col("block") + 1) * b - F.col("begin"), F.col("size")).alias("last"),
+        F.greatest(F.expr(start_of.format("rank")) - F.col("begin"), F.lit(0)).alias("first"),
+        (F.least(F.expr(start_of.format("(rank + 1)")), F.col("end")) - F.col("begin")).alias("last"),
     )
     return rows, pieces
 

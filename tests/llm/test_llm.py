@@ -204,6 +204,25 @@ def test_mix(docs, made):
     assert sum(len(WORDS.findall(r.text)) for r in mixed.collect()) == pytest.approx(sum(taken.values()), rel=0.02)
 
 
+def test_mix_of_tiny_and_huge_sources(spark):
+    sizes = {"a": 50_000, "b": 1, "c": 7, "d": 90, "e": 301, "f": 20_000}
+    rows = [(10 * i + k, " ".join(["w"] * (n // 5 + (k < n % 5))), s) for i, (s, n) in enumerate(sizes.items()) for k in range(5)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for slots in (4, 64):
+        whole, pieces_of = mixing.mix(given, [F.col("doc_id")], F.size(F.filter(F.split("text", " "), lambda w: w != "")), F.col("source"), slots)
+        target = {r.source: r.target for r in whole.collect()}
+        taken, by_slot, spans = Counter(), defaultdict(set), defaultdict(list)
+        for r in pieces_of.collect():
+            taken[r.source] += r.last - r.first
+            by_slot[r.slot].add(r.source)
+            spans[r.id, r.copy, r["pass"]].append((r.first, r.last))
+        assert all(abs(taken[s] - target[s]) <= 1 for s in sizes), (taken, target)
+        assert len(by_slot) <= slots + len(sizes) and all(len(s) == 1 for s in by_slot.values())
+        for parts in spans.values():  # without gaps or overlaps
+            parts.sort()
+            assert parts[0][0] == 0 and all(a < b for a, b in parts) and all(x[1] == y[0] for x, y in zip(parts, parts[1:], strict=False))
+
+
 def test_scores_on_held_out_rows(spark, sf_dir, nothing):
     documents, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     rows = classifier.scores(documents, labels).join(labels, "doc_id").collect()
