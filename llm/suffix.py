@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings by distributed prefix doubling over sampled suffixes.
+"""Removal of repeated byte strings by hash names around content-defined anchors, in place of prefix doubling.
 
 Every string of LENGTH bytes contains an anchor: the one of its GRAM-byte strings with the least hash, so equal
 strings have equal anchors at equal offsets, and it is enough to rank suffixes at anchors. Ranks are names: equal
