@@ -36,7 +36,7 @@ from tokenizers import Tokenizer
 from llm.common import stash
 
 BATCH = 1 << 21  # characters of text that are merged at once
-PAIRS = 1 << 20  # pairs after which a batch group ends
+PAIRS, BATCHES = 1 << 20, 16  # pairs and batches after which a batch group ends
 BROADCAST_PAIRS = 4_000_000  # rows of three numbers; more pairs are joined by a shuffle
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _MEMO = 1 << 19  # pieces that are remembered
@@ -205,7 +205,7 @@ _SCHEMA = ", ".join(f"{c} {_NAMES[t]}" for c, t in _FIELDS.items())
 
 def _aligned(batches: Iterator[pa.RecordBatch], a: str, b: str, extra: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Document rows (grp, row, counts, numbers of pairs, other columns) and pair rows (grp, pair, n, local)."""
-    machine, base, group, at = aligner(a, b), TaskContext.get().partitionId() << 32, 0, 0
+    machine, base, group, held, at = aligner(a, b), TaskContext.get().partitionId() << 32, 0, 0, 0
     known, local, totals = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     fields = _FIELDS | {f.name: f.type for f in extra}
 
@@ -246,10 +246,10 @@ def _aligned(batches: Iterator[pa.RecordBatch], a: str, b: str, extra: pa.Schema
             n_groups=n_groups, n_links=np.bincount(doc, times, count).astype(np.int64), groups_sha256=digests,
             pairs=[p for p, _ in packed], times=[t for _, t in packed], **dict(zip(extra.names, others, strict=True)),
         )
-        at += count
-        if len(known) > PAIRS:
+        at, held = at + count, held + 1
+        if len(known) > PAIRS or held == BATCHES:
             yield listed()
-            group += 1
+            group, held = group + 1, 0
             known, local, totals = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     yield listed()
 
