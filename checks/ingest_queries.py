@@ -19,9 +19,9 @@ from usagelake.lake import Lake
 from usagelake.operators import adapt, dimensions, redact, replace
 from usagelake.operators.counters import cumulative_to_delta
 from usagelake.operators.relational import merge_full_outer, merge_left, scope, team_join, union_all
-from usagelake.sources import tables, testdata
+from usagelake.sources import folders, tables, testdata
 from usagelake.sources.otlp import flatten_anyvalue, read_otlp_logs, read_otlp_metrics, reject_malformed
-from usagelake.schemas import attributes_type
+from usagelake.schemas import EVENT_COLUMNS, EVENTS, METRIC_COLUMNS, attributes_type
 from usagelake.streaming import ingest, store
 
 PEPPER = given.PEPPER
@@ -345,16 +345,28 @@ def replaced(lake):
 
 
 def retained_rows(lake):
-    def daily(rows, kind):
-        return rows.groupBy(F.lit(kind).alias("kind"), _day()).agg(F.count("*").alias("rows"))
+    """Both tables in storage, and what a plain read of their folders finds after the retention job."""
 
-    kept_events = replace.retention_rows(lake.bronze_events(), given.AS_OF_EVENTS, fx.EVENT_RETENTION_DAYS)
-    kept_metrics = replace.retention_rows(lake.bronze_metrics(), given.AS_OF_METRICS, fx.METRIC_RETENTION_DAYS)
-    return union_all(daily(kept_events, "events"), daily(kept_metrics, "metrics"))
+    def daily(kind, rows, columns, as_of, days):
+        path = lake.scratch(f"retained-{kind}")
+        tables.append_rows(rows, path, columns)
+        folders.drop_expired(lake.spark, path, as_of, days)
+        if not folders.partitions(folders.Files(lake.spark, path), path):
+            return lake.spark.createDataFrame([], "kind STRING, day STRING, rows BIGINT")
+        return lake.spark.read.parquet(path).groupBy(F.lit(kind).alias("kind"), _day()).agg(F.count("*").alias("rows"))
+
+    return union_all(
+        daily("events", lake.bronze_events(), EVENT_COLUMNS, given.AS_OF_EVENTS, fx.EVENT_RETENTION_DAYS),
+        daily("metrics", lake.bronze_metrics(), METRIC_COLUMNS, given.AS_OF_METRICS, fx.METRIC_RETENTION_DAYS),
+    )
 
 
 def retained_content(lake):
-    kept = replace.retention_content(lake.bronze_events(), given.AS_OF_CONTENT)
+    """Events in storage after the job that blanks expired content: a plain read finds no ciphertext there."""
+    path = lake.scratch("retained-content")
+    tables.append_rows(lake.bronze_events(), path, EVENT_COLUMNS)
+    folders.clear_expired_content(lake.spark, path, EVENTS, given.AS_OF_CONTENT, fx.CONTENT_RETENTION_DAYS)
+    kept = lake.spark.read.parquet(path)
     return kept.groupBy(_day()).agg(
         F.count("*").alias("rows"), F.count_if(F.size("content_fields") > 0).alias("with_content")
     )
@@ -425,7 +437,7 @@ def _poison(lake) -> DataFrame:
     return broken.select(
         F.lit(fx.EVENTS_TOPIC).alias("topic"),
         partition_key(F.col("org_id"), text(F.col("session_id"))).alias("key"),
-        F.concat(F.lit('{"broken":'), F.col("i").cast("string")).alias("value"),
+        F.concat(_case((F.col("i") / 20).cast("int") % len(given.POISON), *map(F.lit, given.POISON)), F.col("i").cast("string")).alias("value"),
     )
 
 
@@ -561,6 +573,84 @@ def replayed(lake):
     return twice.agg(F.sum("b").alias("bronze_rows"), F.sum("s").alias("silver_rows"))
 
 
+def stored_once(lake):
+    """Batches that stop after each of their writes, are repeated, and come once more: bronze equals the messages."""
+    paths = _paths(lake)
+    messages = _read_log(lake, _full_log(lake))
+    part = F.pmod(F.xxhash64("key"), F.lit(4))
+
+    def stop_at(name):
+        def step(reached):
+            if reached == name:
+                raise InterruptedError(name)
+
+        return step
+
+    for batch, stop in enumerate(("dead letters", "metrics", "events", "")):
+        rows = messages.where(part == batch)
+        try:
+            store.store_batch(rows, paths, batch=batch, step=stop_at(stop))
+        except InterruptedError:
+            store.store_batch(rows, paths, batch=batch)
+        store.store_batch(rows, paths, batch=batch)
+
+    def counted(rows, name):
+        return rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+
+    return union_all(
+        counted(lake.spark.read.parquet(paths.metrics), "metrics"),
+        counted(lake.spark.read.parquet(paths.events), "events"),
+        counted(lake.spark.read.parquet(paths.dead_letters), "dead_letters"),
+    )
+
+
+def silver_refreshed(lake):
+    """All four tables kept up to date by changed days and changed accounts, with late data in a second round.
+
+    One row per table and day (dimensions: organization) with the number of rows and the sum of a column.
+    """
+    paths, log, checkpoint = _paths(lake), lake.scratch("log"), lake.scratch("offsets")
+    silver = lake.scratch("silver-m"), lake.scratch("silver-e")
+    events = _event_messages(lake)
+    messages = _read_log(lake, _log(lake, _metric_messages(lake), events, events))
+    late = F.pmod(F.xxhash64("value"), F.lit(5)) == 0
+    for rows in (messages.where(~late), messages.where(late)):
+        rows.write.mode("append").parquet(log)
+        _store(lake, log, paths, checkpoint)
+        store.refresh_silver(lake.spark, paths, *silver)
+
+    def daily(name, path, value):
+        rows = lake.spark.read.parquet(path)
+        return rows.groupBy(F.lit(name).alias("table_name"), _day().alias("part")).agg(
+            F.count("*").alias("rows"), zero(F.sum(value)).alias("total")
+        )
+
+    def by_org(name, rows, value):
+        return rows.groupBy(F.lit(name).alias("table_name"), F.col("org_id").alias("part")).agg(
+            F.count("*").alias("rows"), F.sum(value.cast("double")).alias("total")
+        )
+
+    teams = F.coalesce(F.substring_index("team", "-", -1).try_cast("int"), F.lit(0))
+    mail = F.regexp_extract("email", r"^user(\d+)@", 1)
+    return union_all(
+        daily("metrics", silver[0], F.col("value")),
+        daily("events", silver[1], F.col("num_cost_usd")),
+        by_org("team_membership", lake.current_membership(), teams),
+        by_org("person_directory", lake.current_directory(), mail),
+    )
+
+
+def compacted(lake):
+    """Events stored in twelve small batches, then merged: rows per day, and whether each day has one file."""
+    paths = _paths(lake)
+    messages = _read_log(lake, _log(lake, _event_messages(lake)))
+    for batch in range(12):
+        store.store_batch(messages.where(F.pmod(F.xxhash64("value"), F.lit(12)) == batch), paths, batch=batch)
+    folders.compact(lake.spark, paths.events, EVENTS, tables.BRONZE_EVENT_SORT, 1 << 40)
+    rows = lake.spark.read.parquet(paths.events).withColumn("_file", F.col("_metadata.file_name"))
+    return rows.groupBy(_day()).agg(F.count("*").alias("rows"), (F.count_distinct("_file") == 1).alias("merged"))
+
+
 def late(lake):
     """The newer half arrives and is stored first; the older half still reaches its own days."""
     paths, checkpoint, log = _paths(lake), lake.scratch("offsets"), lake.scratch("log")
@@ -760,5 +850,8 @@ PIPELINE: dict[str, Callable[[Lake], DataFrame]] = {
     "stream_store": streamed_store,
     "stream_replay": replayed,
     "late_data": late,
+    "batch_log": stored_once,
+    "silver_refresh": silver_refreshed,
+    "compact_days": compacted,
     "cumulative_to_delta": delta,
 }

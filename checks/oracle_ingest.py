@@ -211,6 +211,7 @@ SQL |= {
 }
 
 # Messages: one per metric point and known event; every 20th event is followed by a broken one.
+POISON = ('{"broken":', '[', '"', 'x', '{"ts_ns":"abc","org_id":"o"}//', '{"org_id":"o"}', '{"ts_ns":5}', '')
 _MESSAGES = f"""WITH {METRIC_BASE}, {EVENT_BASE}, ev AS (SELECT * FROM e0 WHERE {_KNOWN}),
     poison AS (SELECT * FROM e0 WHERE i % 20 = 0)"""
 SQL |= {
@@ -222,7 +223,8 @@ SQL |= {
     "route_by_topic": f"""{_MESSAGES} SELECT 'metrics' AS table_name, count(*) AS messages FROM m0
         UNION ALL SELECT 'events', (SELECT count(*) FROM ev) + (SELECT count(*) FROM poison)""",
     "dlq_split": f"""{_EB}SELECT '{fx.DLQ_TOPIC}' AS topic, org_id || ':' || session_id AS key,
-        '{fx.EVENTS_TOPIC}' AS source_topic, '{fx.DLQ_ERROR}' AS error, '{{"broken":' || i AS original
+        '{fx.EVENTS_TOPIC}' AS source_topic, '{fx.DLQ_ERROR}' AS error,
+          CASE (i // 20) % {len(POISON)} {" ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(POISON))} END || i AS original
         FROM e0 WHERE i % 20 = 0""",
     "stream_ingest": f"""{_MESSAGES} SELECT '{fx.METRICS_TOPIC}' AS topic, count(*) AS messages,
           count(DISTINCT {_metric_id(True)}) AS ids FROM m0
@@ -238,6 +240,23 @@ SQL |= {
         FROM ev""",
     "late_data": f"""{_EB}SELECT strftime(event_date, '%Y-%m-%d') AS day, count(*) AS rows FROM e0 WHERE {_KNOWN}
         GROUP BY event_date""",
+    "batch_log": f"""{_MESSAGES} SELECT 'metrics' AS table_name, count(*) AS rows FROM m0
+        UNION ALL SELECT 'events', count(*) FROM ev UNION ALL SELECT 'dead_letters', count(*) FROM poison""",
+    "silver_refresh": f"""{_MESSAGES}, {ACCOUNTS}, mv AS (SELECT DISTINCT org_id, source, name, session_id, ts_ns, {_metric_id(True)} AS d,
+            event_date, value FROM m0),
+          evs AS (SELECT {_EVENT_ID} AS d, any_value(event_date) AS event_date, any_value(cost_usd) AS cost_usd FROM ev GROUP BY 1),
+          mh AS (SELECT 'org_' || (n % 4) AS org_id, n, c, (n + round) % 6 AS team FROM accounts WHERE n % 6 <> 5
+            UNION ALL SELECT 'org_x', n, c, 0 FROM accounts WHERE n % 6 <> 5 AND n % 7 = 0),
+          dh AS (SELECT 'org_' || (n % 4) AS org_id, n, c FROM accounts WHERE n % 3 < 2)
+        SELECT 'metrics' AS table_name, strftime(event_date, '%Y-%m-%d') AS part, count(*) AS rows, {dbl('sum(value)')} AS total
+          FROM mv GROUP BY event_date
+        UNION ALL SELECT 'events', strftime(event_date, '%Y-%m-%d'), count(*), {dbl('sum(cost_usd)')} FROM evs GROUP BY event_date
+        UNION ALL SELECT 'team_membership', org_id, count(*), CAST(sum(team) AS DOUBLE) FROM (
+          SELECT org_id, n, arg_max(team, c) AS team FROM mh GROUP BY ALL) GROUP BY org_id
+        UNION ALL SELECT 'person_directory', org_id, count(*), CAST(sum(c) AS DOUBLE) FROM (
+          SELECT org_id, n, max(c) AS c FROM dh GROUP BY ALL) GROUP BY org_id""",
+    "compact_days": f"""{_EB}SELECT strftime(event_date, '%Y-%m-%d') AS day, count(*) AS rows, true AS merged FROM e0 WHERE {_KNOWN}
+        GROUP BY event_date""",
     "cumulative_to_delta": f"""WITH {METRIC_SILVER}, o AS (
           SELECT user_hash, name, ts_ns, value, lag(value) OVER (PARTITION BY user_hash, name ORDER BY ts_ns, value) AS p
           FROM ms WHERE kind = 'counter')

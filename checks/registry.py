@@ -53,7 +53,7 @@ def _prior(lake: Lake) -> DataFrame:
 
 
 def _team(lake: Lake) -> DataFrame:
-    return membership_list(lake.membership(), oracle.ORG)
+    return membership_list(lake.current_membership(), oracle.ORG, latest=True)
 
 
 def _prior_range(lake: Lake) -> DataFrame:

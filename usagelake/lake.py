@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from usagelake.operators import dimensions
 from usagelake.plans.repository import Analytics
+from usagelake.schemas import PERSON_DIRECTORY, TEAM_MEMBERSHIP
 from usagelake.session import prepare, work_dir
 from usagelake.sources import tables, testdata
 
@@ -90,12 +92,30 @@ class Lake:
     def directory(self) -> DataFrame:
         return testdata.directory_history(self.spark, self.sf_dir)
 
+    def current_membership(self) -> DataFrame:
+        return self._dimension("membership", TEAM_MEMBERSHIP, self.membership)
+
+    def current_directory(self) -> DataFrame:
+        return self._dimension("directory", PERSON_DIRECTORY, self.directory)
+
+    def _dimension(self, name: str, schema: str, history: Callable[[], DataFrame]) -> DataFrame:
+        """A stored dimension: two thirds of the versions folded into the snapshot, the rest as changes."""
+
+        def write(rows: DataFrame, path: str) -> None:
+            late = F.pmod(F.xxhash64("account_hash", "updated_at"), F.lit(3)) == 0
+            dimensions.append_changes(rows.where(~late), path)
+            dimensions.fold(self.spark, path, schema)
+            dimensions.append_changes(rows.where(late), path)
+
+        path, _ = self._folder_once(name, ("customer",), history, write)
+        return dimensions.current(self.spark, path, schema)
+
     def analytics(self) -> Analytics:
         return Analytics(
             self.metrics(),
             self.events(),
-            self.membership(),
-            self.directory(),
+            self.current_membership(),
+            self.current_directory(),
             self.bronze_metrics(),
             self.bronze_events(),
         )
@@ -111,11 +131,20 @@ class Lake:
         build: Callable[[], DataFrame],
         write: Callable[[DataFrame, str], None],
     ) -> DataFrame:
+        path, schema = self._folder_once(name, inputs, build, write)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _folder_once(
+        self,
+        name: str,
+        inputs: tuple[str, ...],
+        build: Callable[[], DataFrame],
+        write: Callable[[DataFrame, str], None],
+    ) -> tuple[str, StructType]:
         paths = tuple(f"{self.sf_dir}/{t}.parquet" for t in inputs)
         key = (self.spark.sparkContext.applicationId, name, paths, _state(self.spark, paths))
         if key not in _written:
             path, rows = self.scratch(name), build()
             write(rows, path)
             _written[key] = path, rows.schema
-        path, schema = _written[key]
-        return self.spark.read.schema(schema).parquet(path)
+        return _written[key]

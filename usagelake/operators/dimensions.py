@@ -1,10 +1,14 @@
-"""Person directory and team membership."""
+"""Person directory and team membership.
+
+A stored dimension has two parts: ``part=snapshot`` with one row per account, and ``part=delta`` with the changes since.
+Reads merge the newest change of each account into the snapshot; ``fold`` makes that the next snapshot.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelake import fixed_values as fx
@@ -12,6 +16,9 @@ from usagelake.functions.identity import pseudonymize
 from usagelake.functions.maps import text
 from usagelake.operators.replace import replace_dimension
 from usagelake.schemas import DIRECTORY_FILE
+from usagelake.sources import folders
+
+PART, SNAPSHOT, DELTA = "part", "snapshot", "delta"
 
 
 def directory_load(files: DataFrame, pepper: str, updated_at, column: str = "value") -> DataFrame:
@@ -46,11 +53,64 @@ def directory_load(files: DataFrame, pepper: str, updated_at, column: str = "val
     )
 
 
-def directory_upsert(history: DataFrame) -> DataFrame:
-    """Latest directory row per (org, account); a missing person id is the account hash."""
-    current = replace_dimension(history)
+def append_changes(rows: DataFrame, path: str) -> None:
+    """Add versions of a dimension's rows."""
+    rows.withColumn(PART, F.lit(DELTA)).write.mode("append").partitionBy(PART).parquet(path)
+
+
+def _merged(stored: DataFrame) -> DataFrame:
+    """The newest row of each account: the snapshot's, or the newest change where that is not older.
+
+    Only changes are ranked. Ties between equal versions fall to the greater remaining columns, as in a full rebuild.
+    """
+    key = list(fx.DIMENSION_KEY)
+    others = [c for c in stored.columns if c not in (*key, "updated_at", PART)]
+    row = F.struct("updated_at", *others)
+    changes = replace_dimension(stored.where(F.col(PART) == DELTA).drop(PART)).select(*key, row.alias("_new"))
+    known = stored.where(F.col(PART) == SNAPSHOT).select(*key, row.alias("_old"))
+    newest = known.join(changes, key, "full").select(*key, F.greatest("_old", "_new").alias("_row"))
+    return newest.select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in stored.columns if c != PART])
+
+
+def current(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row per account of a stored dimension, in the columns of ``schema``."""
+    rows = folders.read_folders(spark, path, f"{schema}, {PART} STRING", PART)
+    if not folders.data_files(folders.Files(spark, path), path.rstrip("/"), PART, DELTA):
+        return rows.drop(PART)
+    return _merged(rows)
+
+
+def fold(spark: SparkSession, path: str, schema: str, step: Callable[[str], None] = lambda name: None) -> int:
+    """Merge the changes into a new snapshot and swap it in. Returns the number of change files folded.
+
+    Changes that arrive meanwhile stay for the next fold. The snapshot is sorted by account, so that one
+    organization's rows lie in few row groups.
+    """
+    folders.recover(spark, path)
+    path, files = path.rstrip("/"), folders.Files(spark, path)
+    changes = [n for n, _ in folders.data_files(files, path, PART, DELTA)]
+    if not changes:
+        return 0
+    names = [*changes, *[n for n, _ in folders.data_files(files, path, PART, SNAPSHOT)]]
+
+    def write(folder: str) -> None:
+        rows = _merged(folders.read_files(spark, f"{schema}, {PART} STRING", path, names))
+        sorted_rows = rows.hint("rebalance").sortWithinPartitions(*fx.DIMENSION_KEY)
+        sorted_rows.withColumn(PART, F.lit(SNAPSHOT)).write.partitionBy(PART).parquet(folder)
+
+    folders.swap_files(spark, path, names, write, PART, step)
+    return len(changes)
+
+
+def named_people(current_rows: DataFrame) -> DataFrame:
+    """Directory rows whose missing person id is the account hash."""
     person = F.when(F.length("person_id") > 0, F.col("person_id")).otherwise(F.col("account_hash"))
-    return current.withColumn("person_id", person)
+    return current_rows.withColumn("person_id", person)
+
+
+def directory_upsert(history: DataFrame) -> DataFrame:
+    """Latest directory row per (org, account) of a history; a missing person id is the account hash."""
+    return named_people(replace_dimension(history))
 
 
 def directory_resolve(directory: DataFrame, org: str, hashes: DataFrame | Sequence[str]) -> DataFrame:
@@ -77,7 +137,7 @@ def membership_assign(history: DataFrame, records: DataFrame, updated_at) -> Dat
     return history.unionByName(stamped)
 
 
-def membership_list(history: DataFrame, org: str) -> DataFrame:
-    """Current (account_hash, team) of one organization."""
-    own = history.where(F.col("org_id") == F.lit(org))
-    return replace_dimension(own).select("account_hash", "team")
+def membership_list(rows: DataFrame, org: str, latest: bool = False) -> DataFrame:
+    """Current (account_hash, team) of one organization; ``latest`` says that ``rows`` has one row per account."""
+    own = rows.where(F.col("org_id") == F.lit(org))
+    return (own if latest else replace_dimension(own)).select("account_hash", "team")

@@ -81,7 +81,8 @@ def exact_quantiles(
     def interpolated(name: str, p: float) -> Column:
         position = (F.col("_total") - 1) * F.lit(p)
         share = position - F.floor(position)
-        return F.col(f"_lo_{name}") * (1 - share) + F.col(f"_hi_{name}") * share
+        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        return F.when((share == 0) | (low == high), low).otherwise(low * (1 - share) + high * share)
 
     for p in probabilities.values():
         if not (0 <= p <= 1) or math.isnan(p):

@@ -8,7 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 
 from usagelake import fixed_values as fx
-from usagelake.operators.dimensions import directory_resolve, directory_upsert, membership_list
+from usagelake.operators.dimensions import directory_resolve, membership_list, named_people
 from usagelake.operators.relational import scope
 from usagelake.plans import capabilities, derived, health, overview, people, teams, tools
 
@@ -36,6 +36,8 @@ class DateRange:
 class Analytics:
     """Reports over silver metrics and events plus the two dimensions.
 
+    ``membership`` and ``directory`` have one row per account, as ``dimensions.current`` reads them; a history goes
+    through ``replace_dimension`` first. No report ranks versions.
     ``metrics`` and ``events`` hold latest versions only; the bronze frames are
     needed for ``orgs`` alone, which counts every delivery.
     """
@@ -63,7 +65,7 @@ class Analytics:
     def membership(self, org: str) -> DataFrame:
         if self._membership is None:
             raise ValueError("no team membership table given")
-        return membership_list(self._membership, org)
+        return membership_list(self._membership, org, latest=True)
 
     def orgs(self):
         return overview.orgs(self._metrics_bronze, self._events_bronze)
@@ -140,4 +142,4 @@ class Analytics:
     def identities(self, org: str, hashes):
         if self._directory is None:
             raise ValueError("no person directory given")
-        return directory_resolve(directory_upsert(self._directory), org, hashes)
+        return directory_resolve(named_people(self._directory), org, hashes)

@@ -6,15 +6,20 @@ latest version of each key plus flat copies of the hot map entries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import date, timedelta
+
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from usagelake.functions.maps import entry, text
 from usagelake.functions.text import ns_timestamp
 from usagelake.operators.replace import replace_events, replace_metrics
 from usagelake.schemas import EVENT_COLUMNS, HOT_ATTRIBUTES, HOT_DIMS, HOT_NUMBERS, METRIC_COLUMNS, hot_column
+from usagelake.sources.folders import replace_partitions
 
 METRIC_SORT = ("org_id", "name", "model", "user_hash", "session_id")
+BRONZE_METRIC_SORT = ("org_id", "name", "session_id", "ts_ns")
+BRONZE_EVENT_SORT = ("org_id", "event_type", "session_id", "ts_ns")
 EVENT_SORT = ("org_id", "event_type", "dim_tool_name", "user_hash", "session_id")
 
 
@@ -79,19 +84,19 @@ def table_defaults(rows: DataFrame, ingest_time: Column | None = None) -> DataFr
     )
 
 
-def append_rows(rows: DataFrame, path: str, columns: list[str]) -> None:
-    """Append to a day-partitioned table.
+def named(writer: DataFrameWriter, name: str) -> DataFrameWriter:
+    """A writer whose file names begin with ``name``, so that they can be told apart later."""
+    return writer.option("mapreduce.output.basename", name) if name else writer
+
+
+def append_rows(rows: DataFrame, path: str, columns: list[str], name: str = "") -> None:
+    """Append to a day-partitioned table; ``name`` begins the names of the new files.
 
     Rebalancing by day lets adaptive execution split a hot day over several tasks
     and merge small ones, instead of one file per day and task.
     """
-    (
-        rows.select(*columns)
-        .hint("rebalance", F.col("event_date"))
-        .write.mode("append")
-        .partitionBy("event_date")
-        .parquet(path)
-    )
+    appended = rows.select(*columns).hint("rebalance", F.col("event_date")).write.mode("append")
+    named(appended, name).partitionBy("event_date").parquet(path)
 
 
 def metrics_sink(metrics: DataFrame, path: str, ingest_time: Column | None = None) -> None:
@@ -125,26 +130,23 @@ def silver_events(bronze: DataFrame) -> DataFrame:
     return promote_events(replace_events(bronze))
 
 
-def write_silver(rows: DataFrame, path: str, sort: tuple[str, ...], only_days: bool = False) -> None:
-    """Write a silver table by day, sorted so row-group statistics skip other tenants and kinds.
-
-    ``only_days`` replaces just the days present in ``rows`` (the daily refresh).
-    """
-    writer = (
+def write_silver(rows: DataFrame, path: str, sort: tuple[str, ...]) -> None:
+    """Write a silver table by day, sorted so row-group statistics skip other tenants and kinds."""
+    (
         rows.hint("rebalance", F.col("event_date"))
         .sortWithinPartitions("event_date", *sort)
         .write.mode("overwrite")
         .partitionBy("event_date")
+        .parquet(path)
     )
-    if only_days:
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
 
 
 def refresh_days(bronze: DataFrame, path: str, kind: str, first_day, last_day) -> None:
-    """Rebuild the silver partitions of the touched days from bronze."""
+    """Rebuild the silver partitions of a range of days from bronze; other days keep their files."""
     touched = bronze.where(F.col("event_date").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))
+    first, last = date.fromisoformat(str(first_day)), date.fromisoformat(str(last_day))
+    days = [(first + timedelta(days=k)).isoformat() for k in range((last - first).days + 1)]
     if kind == "metrics":
-        write_silver(silver_metrics(touched), path, METRIC_SORT, only_days=True)
+        replace_partitions(silver_metrics(touched), path, days, METRIC_SORT)
     else:
-        write_silver(silver_events(touched), path, EVENT_SORT, only_days=True)
+        replace_partitions(silver_events(touched), path, days, EVENT_SORT)
