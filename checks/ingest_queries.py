@@ -641,11 +641,11 @@ def silver_refreshed(lake):
 
 
 def compacted(lake):
-    """Events stored in twelve small batches, then merged: rows per day, and whether each day has one file."""
+    """Events stored in six small batches, then merged: rows per day, and whether each day has one file."""
     paths = _paths(lake)
     messages = _read_log(lake, _log(lake, _event_messages(lake)))
-    for batch in range(12):
-        store.store_batch(messages.where(F.pmod(F.xxhash64("value"), F.lit(12)) == batch), paths, batch=batch)
+    for batch in range(6):
+        store.store_batch(messages.where(F.pmod(F.xxhash64("value"), F.lit(6)) == batch), paths, batch=batch)
     folders.compact(lake.spark, paths.events, EVENTS, tables.BRONZE_EVENT_SORT, 1 << 40)
     rows = lake.spark.read.parquet(paths.events).withColumn("_file", F.col("_metadata.file_name"))
     return rows.groupBy(_day()).agg(F.count("*").alias("rows"), (F.count_distinct("_file") == 1).alias("merged"))
@@ -707,8 +707,8 @@ def flags(lake):
 
 
 def policies(lake):
-    redacted = redact.redact_fields(_document_events(lake), POLICIES)
-    return redacted.groupBy("org_id", POLICIES.captures(F.col("org_id")).alias("captures")).agg(
+    redacted = POLICIES.attach(redact.redact_fields(_document_events(lake), POLICIES))
+    return redacted.groupBy("org_id", F.col("_policy.captures").alias("captures")).agg(
         F.count_if(F.array_contains("redaction_flags", fx.FLAG_DENY)).alias("denied"), F.count("*").alias("events")
     )
 

@@ -65,3 +65,55 @@ def test_pepper_stays_out_of_explain(spark):
     text = plan(spark.range(1).select(pseudonymize(F.col("id").cast("string"), "hidden-pepper")), "extended")
     pad = bytes(b ^ 0x36 for b in b"hidden-pepper").hex()
     assert pad.upper() not in text.upper()
+
+
+def over_facts(text: str) -> list[str]:
+    """Sort aggregates of a plan tree whose rows come from a scan without a hash aggregate between."""
+    lines = [re.match(r"([\s:+\-|]*)(.*)", line).groups() for line in text.splitlines()]
+    bad = []
+    for k, (indent, node) in enumerate(lines):
+        if "SortAggregate" not in node:
+            continue
+        reduced = None  # depth of the nearest hash aggregate above the current node
+        for below, inner in lines[k + 1 :]:
+            if len(below) <= len(indent):
+                break
+            if reduced is not None and len(below) <= reduced:
+                reduced = None
+            if "HashAggregate" in inner and reduced is None:
+                reduced = len(below)
+            if "FileScan" in inner and reduced is None:
+                bad.append(node)
+    return bad
+
+
+def test_no_report_sorts_facts_to_aggregate_them(lake):
+    for name, build in ANALYTICS.items():
+        assert not over_facts(plan(build(lake), "simple")), name
+
+
+def test_plans_do_not_grow_with_the_number_of_organizations(spark):
+    from usagelake.operators import redact
+
+    schema = "org_id STRING, dims MAP<STRING,STRING>, staged_content MAP<STRING,STRING>"
+    events = spark.createDataFrame([(f"o{k}", {"a": f"term{k} all x"}, {"p": "text"}) for k in (0, 7, 9_999, 20_000)], schema)
+
+    def redacted(n):
+        names = [f"o{k}" for k in range(n)]
+        return redact.redact_events(events, redact.OrgPolicies(tuple(names[::2]), ("all",), {o: (f"TERM{o[1:]}",) for o in names}), b"k" * 32)
+
+    sizes = [len(plan(redacted(n), "simple")) for n in (10, 10_000)]
+    assert abs(sizes[0] - sizes[1]) < 50
+    rows = {r.org_id: r for r in redacted(10_000).collect()}
+    mark = "[REDACTED:denylist]"
+    assert rows["o7"].dims["a"] == rows["o9999"].dims["a"] == rows["o0"].dims["a"] == f"{mark} {mark} x"
+    assert rows["o20000"].dims["a"] == f"term20000 {mark} x"
+    assert [bool(rows[o].content_fields) for o in ("o0", "o7", "o9999", "o20000")] == [True, False, False, False]
+
+
+def test_a_sort_aggregate_over_facts_is_seen(scoped):
+    from pyspark.sql import functions as F
+
+    sorted_facts = scoped[1].groupBy("session_id").agg(F.max_by("dim_tool_name", F.struct("ts_ns", "dedup_id")))
+    assert over_facts(plan(sorted_facts, "simple"))
+    assert not over_facts(plan(scoped[1].groupBy("session_id").agg(F.count("*").alias("n"), F.max("ts_ns").alias("t")).groupBy("n").agg(F.max_by("session_id", "t")), "simple"))

@@ -49,9 +49,16 @@ def java_pattern(pattern: str) -> str:
     return "".join(out)
 
 
+def _literal(replacement: str) -> str:
+    return replacement.replace("\\", "\\\\").replace("$", "\\$")
+
+
+#: What deny terms become, as a replacement of ``regexp_replace``.
+DENY_REPLACEMENT = _literal(fx.DENY_TEXT)
+
+
 def _replace(text: Column, pattern: str, replacement: str) -> Column:
-    literal = replacement.replace("\\", "\\\\").replace("$", "\\$")
-    return F.regexp_replace(text, pattern, literal)
+    return F.regexp_replace(text, pattern, _literal(replacement))
 
 
 def _contains_any(text: Column, *needles: str) -> Column:
@@ -110,7 +117,7 @@ def scan_paths(text: Column) -> Column:
     return F.when(_contains_any(text, "/Users/", "/home/", "\\"), scrubbed).otherwise(text)
 
 
-def _any_case(term: str) -> str:
+def deny_pattern(term: str) -> str:
     """Pattern for a literal term in any case; ASCII letters fold to ASCII letters only."""
     parts = []
     for ch in term:
@@ -124,7 +131,7 @@ def scan_deny_list(text: Column, terms) -> Column:
     """Replace literal terms in any case, one after the other: a later term may match an earlier replacement."""
     for term in terms:
         if term:
-            text = _replace(text, _any_case(term), fx.DENY_TEXT)
+            text = _replace(text, deny_pattern(term), fx.DENY_TEXT)
     return text
 
 

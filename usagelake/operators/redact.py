@@ -12,6 +12,7 @@ from usagelake.functions import redaction as scan
 from usagelake.functions.crypto import derive_key, encrypt_content, key_id
 
 _BROADCAST_ORGS = 50_000  # about 5 MB of keys; larger policies are left to the optimizer
+_BROADCAST_BYTES = 8 << 20  # of policies; larger ones too
 
 
 @dataclass(frozen=True)
@@ -31,8 +32,33 @@ class OrgPolicies:
 
         return cls(capture_orgs=parts(capture), deny_list=parts(deny))
 
-    def captures(self, org: Column) -> Column:
-        return org.isin(*self.capture_orgs) if self.capture_orgs else F.lit(False)
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """The policies as data: org_id, captures, patterns of the organization's own deny terms, and whether one of
+        them is the replacement itself."""
+        captures = set(self.capture_orgs)
+        rows = [
+            (org, org in captures, [scan.deny_pattern(t) for t in terms if t], any(t.lower() == fx.DENY_TEXT.lower() for t in terms))
+            for org in sorted(captures | set(self.deny_by_org))
+            for terms in (self.deny_by_org.get(org, ()),)
+        ]
+        frame = spark.createDataFrame(rows, "org_id STRING, captures BOOLEAN, patterns ARRAY<STRING>, marks BOOLEAN")
+        size = sum(64 + len(org) + sum(map(len, patterns)) for org, _, patterns, _ in rows)
+        return F.broadcast(frame) if size <= _BROADCAST_BYTES else frame
+
+    def attach(self, events: DataFrame) -> DataFrame:
+        """Add ``_policy``: captures, patterns and marks of the event's organization. The plan does not grow with the
+        number of organizations."""
+        if not self.capture_orgs and not self.deny_by_org:
+            none = F.struct(F.lit(False).alias("captures"), _no_flags().alias("patterns"), F.lit(False).alias("marks"))
+            return events.withColumn("_policy", none)
+        given = self.frame(events.sparkSession).select(F.col("org_id").alias("_org"), F.struct("captures", "patterns", "marks").alias("_given"))
+        joined = events.join(given, events.org_id == F.col("_org"), "left")
+        policy = F.struct(
+            F.coalesce("_given.captures", F.lit(False)).alias("captures"),
+            F.coalesce("_given.patterns", _no_flags()).alias("patterns"),
+            F.coalesce("_given.marks", F.lit(False)).alias("marks"),
+        )
+        return joined.withColumn("_policy", policy).drop("_org", "_given")
 
     def key_frame(self, spark: SparkSession, master: bytes, info: str) -> DataFrame:
         """org_id, key, key id of the capturing organizations; keys travel as data, not as plan literals."""
@@ -40,19 +66,16 @@ class OrgPolicies:
         frame = spark.createDataFrame(rows, "org_id STRING, _key BINARY, _key_id STRING")
         return F.broadcast(frame) if len(rows) <= _BROADCAST_ORGS else frame
 
-    def deny_text(self, org: Column, text: Column) -> Column:
-        return self._per_org(org, lambda terms: scan.scan_deny_list(text, terms))
-
-    def deny_hit(self, org: Column, before: Column, after: Column) -> Column:
-        return self._per_org(org, lambda terms: scan.deny_list_hit(before, after, terms))
+    def deny_text(self, text: Column) -> Column:
+        """The shared terms, then the organization's own ones in their order; ``_policy`` must be attached."""
+        return F.aggregate(
+            F.col("_policy.patterns"),
+            scan.scan_deny_list(text, self.deny_list),
+            lambda scrubbed, pattern: F.regexp_replace(scrubbed, pattern, F.lit(scan.DENY_REPLACEMENT)),
+        )
 
-    def _per_org(self, org: Column, build) -> Column:
-        shared = build(self.deny_list)
-        case = None
-        for name, terms in self.deny_by_org.items():
-            value = build((*self.deny_list, *terms))
-            case = F.when(org == name, value) if case is None else case.when(org == name, value)
-        return shared if case is None else case.otherwise(shared)
+    def deny_hit(self, before: Column, after: Column) -> Column:
+        return scan.deny_list_hit(before, after, self.deny_list) | (F.col("_policy.marks") & after.contains(fx.DENY_TEXT))
 
 
 _ENTRY = ("staged", "key")
@@ -77,13 +100,12 @@ def redact_fields(events: DataFrame, policies: OrgPolicies) -> DataFrame:
             lambda e: F.struct(F.lit(staged).alias("staged"), e["key"].alias("key"), e["value"].alias("text")),
         )
 
-    frame = events.withColumns(
+    frame = policies.attach(events).withColumns(
         {
             "_staged": F.size("staged_content") > 0,
             "_e": F.concat(tagged("dims", False), tagged("staged_content", True)),
         }
     )
-    org = F.col("org_id")
 
     def changed(before: Column, after: Column) -> Column:
         return before != after
@@ -95,8 +117,8 @@ def redact_fields(events: DataFrame, policies: OrgPolicies) -> DataFrame:
         (fx.FLAG_PATH, scan.scan_paths, changed),
         (
             fx.FLAG_DENY,
-            lambda text: policies.deny_text(org, text),
-            lambda before, after: policies.deny_hit(org, before, after),
+            policies.deny_text,
+            policies.deny_hit,
         ),
     )
     carried: list[str] = []
@@ -141,7 +163,7 @@ def redact_fields(events: DataFrame, policies: OrgPolicies) -> DataFrame:
 
     return frame.withColumns(
         {"redaction_flags": flags, "dims": rebuilt(False), "staged_content": rebuilt(True)}
-    ).drop("_e")
+    ).drop("_e", "_policy")
 
 
 def _no_flags() -> Column:

@@ -46,9 +46,32 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return stacked
 
 
-def latest(value: Column) -> Column:
-    """The value on the newest row of the group (the fixed choice for 'any value')."""
-    return F.max_by(value, F.struct("ts_ns", "dedup_id"))
+def newest_first() -> Column:
+    """A number that orders rows by time and then by the first 15 digits of the hexadecimal dedup id.
+
+    Of fixed width, so that its maximum is kept in a hash aggregate; ids that are no hexadecimal text count as 0.
+    """
+    digits = F.coalesce(F.conv(F.substring("dedup_id", 1, 15), 16, 10).try_cast("decimal(19,0)"), F.lit(0).cast("decimal(19,0)"))
+    return (F.col("ts_ns").cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)") + digits).cast("decimal(38,0)")
+
+
+def with_latest(
+    rows: DataFrame, keys: Sequence[str], values: dict[str, Column], parts: dict[str, Column], merged: dict[str, Column]
+) -> DataFrame:
+    """Groups with ``values`` taken from the newest row (the fixed choice for 'any value') and other aggregates.
+
+    The rows are first grouped by keys and values, by hash: ``parts`` are aggregates of these small groups. Only their
+    few rows are compared by time; ``merged`` are aggregates over the columns of ``parts``. Equal times fall to the
+    greatest dedup id.
+    """
+    small = rows.select("*", *[v.alias(f"_v{i}") for i, v in enumerate(values.values())]).groupBy(*keys, *[f"_v{i}" for i in range(len(values))])
+    reduced = small.agg(F.max(newest_first()).alias("_newest"), *[c.alias(n) for n, c in parts.items()])
+    row = F.struct(*[F.col(f"_v{i}") for i in range(len(values))])
+    grouped = reduced.groupBy(*keys).agg(
+        F.max_by(row, F.struct("_newest", row)).alias("_row"), *[c.alias(n) for n, c in merged.items()]
+    )
+    taken = [F.col(f"_row._v{i}").alias(n) for i, n in enumerate(values)]
+    return grouped.select(*keys, *taken, *merged)
 
 
 def team_join(per_user: DataFrame, membership: DataFrame) -> DataFrame:

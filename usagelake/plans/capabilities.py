@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from usagelake import fixed_values as fx
 from usagelake.functions.maps import count_if, day_text, dim, label, number, total_of, zero
-from usagelake.operators.relational import descending, latest, top_n
+from usagelake.operators.relational import descending, top_n, with_latest
 from usagelake.plans import blocks as b
 
 _PLUGIN_TEXTS = {
@@ -27,24 +27,24 @@ def _plugin_events(e) -> DataFrame:
     return b.event(e, "plugin").withColumn("name", dim(e, "plugin.name"))
 
 
-def _plugin_facts(rows: DataFrame) -> list[Column]:
-    """One row of plugin facts; a count that is missing takes part as 0."""
+def _plugin_facts(rows: DataFrame) -> DataFrame:
+    """One row of facts per plugin; a count that is missing takes part as 0."""
 
     def flag(key: str) -> Column:
-        return F.coalesce(latest(dim(rows, key)) == "true", F.lit(False))
-
-    return [
-        *[F.coalesce(latest(dim(rows, key)), F.lit("")).alias(c) for c, key in _PLUGIN_TEXTS.items()],
-        flag("has_hooks").alias("has_hooks"),
-        flag("has_mcp").alias("has_mcp"),
-        *[zero(F.max(zero(number(rows, key)))).alias(c) for c, key in _PLUGIN_COUNTS.items()],
-        F.count("*").alias("events"),
-    ]
+        return F.coalesce(dim(rows, key) == "true", F.lit(False))
+
+    texts = {c: F.coalesce(dim(rows, key), F.lit("")) for c, key in _PLUGIN_TEXTS.items()}
+    return with_latest(
+        rows,
+        ["name"],
+        texts | {"has_hooks": flag("has_hooks"), "has_mcp": flag("has_mcp")},
+        {f"_{c}": F.max(zero(number(rows, key))) for c, key in _PLUGIN_COUNTS.items()} | {"_events": F.count("*")},
+        {c: zero(F.max(f"_{c}")) for c in _PLUGIN_COUNTS} | {"events": F.sum("_events")},
+    )
 
 
 def plugins(e) -> DataFrame:
-    rows = _plugin_events(e).where("name != ''")
-    return descending(rows.groupBy("name").agg(*_plugin_facts(rows)), "events", "name")
+    return descending(_plugin_facts(_plugin_events(e).where("name != ''")), "events", "name")
 
 
 def hooks_by_event(e) -> DataFrame:
@@ -155,9 +155,7 @@ def _of_plugin(e, name: str) -> DataFrame:
 
 def plugin_info(e, name: str) -> DataFrame:
     """One row of facts about a plugin; no row when it was not seen."""
-    rows = _of_plugin(e, name)
-    facts = rows.agg(*_plugin_facts(rows)).where("events > 0")
-    return facts.select(F.lit(name).alias("name"), *facts.columns)
+    return _plugin_facts(_of_plugin(e, name))
 
 
 def plugin_versions(e, name):

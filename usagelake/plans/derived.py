@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelake import fixed_values as fx
-from usagelake.functions.maps import count_if, dim, rate, sum_if, total_of, zero
+from usagelake.functions.maps import count_if, day_text, dim, rate, sum_if, total_of, zero
 from usagelake.operators.relational import beside, merge_left
 from usagelake.plans import blocks as b
 from usagelake.plans.capabilities import autonomy_by_mode, hooks_by_event, plugins
 from usagelake.plans.health import reliability_totals
-from usagelake.plans.people import cost_timeseries, of_user
+from usagelake.plans.people import cost_trend, of_user
 from usagelake.plans.teams import member_totals
 from usagelake.plans.tools import agent_uses_by_day, tool_facts, tool_results, tool_uses_by_day
 
@@ -175,7 +175,7 @@ def top_mode(e) -> DataFrame:
 
 def _ranked_trend(m, keep: int) -> DataFrame:
     """The daily cost per model with the model's rank by total cost; 0 beyond the kept ones."""
-    trend = cost_timeseries(m)
+    trend = cost_trend(m).select(day_text(F.col("event_date")).alias("day"), "model", "cost")
     totals = trend.groupBy("model").agg(total_of(F.col("cost")).alias("_total"))
     order = [F.col("_total").desc(), F.col("model").asc()]
     # The limit runs as a distributed top list; only ``keep`` rows reach the rank.
@@ -186,13 +186,15 @@ def _ranked_trend(m, keep: int) -> DataFrame:
 
 def cost_pivot_top4(m, keep: int = 4) -> DataFrame:
     """One row per day with the ranked series as zero-filled columns: day, rank_1 .. rank_4, other."""
-    ranked = _ranked_trend(m, keep)
+    return _pivoted(_ranked_trend(m, keep), keep).orderBy("day")
+
 
+def _pivoted(ranked: DataFrame, keep: int) -> DataFrame:
     def series(rank: int) -> Column:
         return zero(F.sum(F.when(F.col("_rank") == rank, F.col("cost"))))
 
     columns = [series(i).alias(f"rank_{i}") for i in range(1, keep + 1)]
-    return ranked.groupBy("day").agg(*columns, series(0).alias("other")).orderBy("day")
+    return ranked.groupBy("day").agg(*columns, series(0).alias("other"))
 
 
 def cost_top_models(m, keep: int = 4) -> DataFrame:
@@ -203,7 +205,7 @@ def cost_top_models(m, keep: int = 4) -> DataFrame:
     )
     cells = [F.struct(F.lit(i).alias("_rank"), F.col(f"rank_{i}").alias("cost")) for i in range(1, keep + 1)]
     cells.append(F.struct(F.lit(0).alias("_rank"), F.col("other").alias("cost")))
-    daily = cost_pivot_top4(m, keep).select("day", F.inline(F.array(*cells)))
+    daily = _pivoted(ranked, keep).select("day", F.inline(F.array(*cells)))
     return daily.join(names, "_rank").select("day", "series", "cost").orderBy("day", "series")
 
 

@@ -116,8 +116,11 @@ def model_detail(m, model: str) -> dict[str, DataFrame]:
     }
 
 
-def cost_timeseries(m) -> DataFrame:
+def cost_trend(m) -> DataFrame:
+    """Cost per day and model, in no order."""
     grouped = b.metric(m, "cost.usage").groupBy("event_date", "model").agg(total_of(F.col("value")).alias("cost"))
-    return grouped.orderBy("event_date", "model").select(
-        day_text(F.col("event_date")).alias("day"), label(F.col("model"), fx.UNKNOWN_LABEL).alias("model"), "cost"
-    )
+    return grouped.select("event_date", label(F.col("model"), fx.UNKNOWN_LABEL).alias("model"), "cost", F.col("model").alias("_model"))
+
+
+def cost_timeseries(m) -> DataFrame:
+    return cost_trend(m).orderBy("event_date", "_model").select(day_text(F.col("event_date")).alias("day"), "model", "cost")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from usagelake.functions.maps import count_if, day_text, dim, number, rate, total_of, zero
 from usagelake.operators.quantile import exact_quantiles
-from usagelake.operators.relational import beside, latest, merge_full_outer, merge_left, top_n
+from usagelake.operators.relational import beside, merge_full_outer, merge_left, top_n, with_latest
 from usagelake.plans import blocks as b
 from usagelake.plans.overview import agent_tokens
 
@@ -24,8 +24,12 @@ def _decisions_by_tool(e) -> DataFrame:
 def tool_facts(e) -> DataFrame:
     """Uses, successes, server and decisions of every tool, in no order and without a list's cut."""
     rows = tool_results(e)
-    usage = rows.groupBy("tool").agg(
-        latest(dim(rows, "mcp_server")).alias("mcp_server"), F.count("*").alias("uses"), b.successes(rows).alias("ok")
+    usage = with_latest(
+        rows,
+        ["tool"],
+        {"mcp_server": dim(rows, "mcp_server")},
+        {"_uses": F.count("*"), "_ok": b.successes(rows)},
+        {"uses": F.sum("_uses"), "ok": F.sum("_ok")},
     )
     missing = {"mcp_server": "", "uses": 0, "ok": 0, "accept": 0, "reject": 0, "block": 0}
     return merge_full_outer(usage, _decisions_by_tool(e), "tool", missing)
@@ -34,16 +38,22 @@ def tool_facts(e) -> DataFrame:
 def tools_list(e) -> DataFrame:
     """Usage, latency and users per tool merged with its approval decisions."""
     rows = tool_results(e)
-    usage = rows.groupBy("tool").agg(
-        latest(dim(rows, "mcp_server")).alias("mcp_server"),
-        F.count("*").alias("uses"),
-        rate(b.successes(rows), F.count("*")).alias("success_rate"),
-        b.average(rows, "duration_ms").alias("avg_ms"),
-        F.count_distinct("user_hash").alias("users"),
+    timing = number(rows, "duration_ms")
+    usage = with_latest(
+        rows,
+        ["tool"],
+        {"mcp_server": dim(rows, "mcp_server")},
+        {"_uses": F.count("*"), "_ok": b.successes(rows), "_ms": F.sum(timing), "_timed": F.count(timing)},
+        {
+            "uses": F.sum("_uses"),
+            "success_rate": rate(F.sum("_ok"), F.sum("_uses")),
+            "avg_ms": zero(rate(F.sum("_ms"), F.sum("_timed"))),
+        },
     )
+    users = rows.groupBy("tool", "user_hash").agg(F.count("*").alias("_n")).groupBy("tool").agg(F.count("user_hash").alias("users"))
     timed = rows.select("tool", number(rows, "duration_ms").alias("_ms"))
     slow = exact_quantiles(timed, ["tool"], "_ms", {"p95_ms": 0.95})
-    busiest = top_n(usage, "uses", "tool", 500)
+    busiest = merge_left(top_n(usage, "uses", "tool", 500), users, "tool", {"users": 0})
     merged = merge_full_outer(
         merge_left(busiest, slow, "tool", {"p95_ms": 0.0}),
         _decisions_by_tool(e),
