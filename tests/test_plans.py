@@ -1,12 +1,16 @@
 """Shape of the plans that matter at scale."""
 
 import re
+import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.registry import ANALYTICS, comparable
+from usagelake.operators.quantile import exact_quantiles
 from usagelake.operators.relational import scope
 from usagelake.plans import overview, tools
+from usagelake.session import work_dir
 
 
 def plan(df, mode="formatted"):
@@ -38,11 +42,37 @@ def test_one_tool_is_filtered_in_the_scan(scoped):
     assert "EqualTo(dim_tool_name,Edit)" in plan(tools.tool_uses_by_day(scoped[1], "Edit"))
 
 
-def test_quantiles_count_values_once(scoped):
-    df = tools.tool_latency(scoped[1], "Edit")
-    df.collect()
-    text = df._jdf.queryExecution().executedPlan().toString()
-    assert "ReusedExchange" in text.split("Initial Plan")[0]
+def test_quantiles_shuffle_counts_and_not_single_values(spark, scoped):
+    """Near-unique doubles: what the shuffles carry is counts of slices and parts, and the values of one part."""
+    path = work_dir(spark) + "/near-unique-" + uuid.uuid4().hex
+    spark.range(400_000).select((F.col("id") % 3).alias("k"), (1000 + F.rand(1) * 9000).alias("v")).write.parquet(path)
+    df = spark.read.parquet(path)
+    for keys, most in (([], None), (["k"], 3)):
+        found = exact_quantiles(df, keys, "v", {"p50": 0.5, "p95": 0.95}, most)
+        got = sorted(tuple(r) for r in found.collect())
+        want = df.groupBy(*keys).agg(F.percentile("v", 0.5), F.percentile("v", 0.95)).collect()
+        for g, w in zip(got, sorted(tuple(r) for r in want), strict=True):
+            assert g == pytest.approx(w, rel=1e-12)
+        written = [int(m.replace(",", "")) for m in re.findall(r"shuffle records written: ([\d,]+)", metrics(found))]
+        assert written and sum(written) < 60_000
+    assert "ReadSchema: struct<event_type:string,org_id:string,dim_tool_name:string,num_duration_ms:double>" in plan(tools.tool_latency(scoped[1], "Edit"))
+
+
+def metrics(df) -> str:
+    """Names and values of all metrics of an executed plan."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if name == "ShuffleExchangeExec":
+            out.append(f"shuffle records written: {node.metrics().apply('shuffleRecordsWritten').value()}")
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return "\n".join(out)
 
 
 def test_breakdowns_scan_once_and_shuffle_once(scoped):

@@ -12,6 +12,9 @@ from usagelake.plans import blocks as b
 from usagelake.plans.overview import agent_tokens
 
 
+TOOLS = 500  # rows of the tool list
+
+
 def tool_results(e) -> DataFrame:
     return b.event(e, "tool_result").withColumn("tool", dim(e, "tool_name")).where("tool != ''")
 
@@ -51,9 +54,11 @@ def tools_list(e) -> DataFrame:
         },
     )
     users = rows.groupBy("tool", "user_hash").agg(F.count("*").alias("_n")).groupBy("tool").agg(F.count("user_hash").alias("users"))
+    top = top_n(usage, "uses", "tool", TOOLS)
     timed = rows.select("tool", number(rows, "duration_ms").alias("_ms"))
-    slow = exact_quantiles(timed, ["tool"], "_ms", {"p95_ms": 0.95})
-    busiest = merge_left(top_n(usage, "uses", "tool", 500), users, "tool", {"users": 0})
+    of_top = timed.join(F.broadcast(top.select("tool")), "tool", "left_semi")  # TOOLS rows at most
+    slow = exact_quantiles(of_top, ["tool"], "_ms", {"p95_ms": 0.95}, most_groups=TOOLS)
+    busiest = merge_left(top, users, "tool", {"users": 0})
     merged = merge_full_outer(
         merge_left(busiest, slow, "tool", {"p95_ms": 0.0}),
         _decisions_by_tool(e),
@@ -63,7 +68,7 @@ def tools_list(e) -> DataFrame:
             "accept": 0, "reject": 0, "block": 0,
         },
     )
-    return top_n(merged, "uses", "tool", 500)
+    return top_n(merged, "uses", "tool", TOOLS)
 
 
 def _of_tool(e, tool: str, kind: str = "tool_result") -> DataFrame:
