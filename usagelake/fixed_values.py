@@ -137,11 +137,9 @@ CONTENT_CLASS = "critical"
 
 # --- Fixed values: identifiers and encryption ---------------------------------
 HASH_LENGTH = 27
-ANONYMOUS = "anonymous"
 UNKNOWN_ORG = "unknown"
 KEY_ID_FORMAT = "org:{digest}:v1"
 KEY_ID_DIGITS = 12
-CONTENT_CIPHER = "aes-256-gcm"
 
 # --- Fixed values: topics -----------------------------------------------------
 METRICS_TOPIC = "canonical.metrics"
