@@ -21,7 +21,7 @@ from usagelake.operators.counters import cumulative_to_delta
 from usagelake.operators.relational import merge_full_outer, merge_left, scope, team_join, union_all
 from usagelake.sources import folders, tables, testdata
 from usagelake.sources.otlp import flatten_anyvalue, read_otlp_logs, read_otlp_metrics, reject_malformed
-from usagelake.schemas import EVENT_COLUMNS, EVENTS, METRIC_COLUMNS, attributes_type
+from usagelake.schemas import EVENT_COLUMNS, EVENTS, METRIC_COLUMNS, ATTRIBUTES
 from usagelake.streaming import ingest, store
 
 PEPPER = given.PEPPER
@@ -108,10 +108,20 @@ def read_logs(lake):
     )
 
 
+def _nested(depth, member):
+    """Value around a member: lists and key/value lists by turns, the outermost a list."""
+    opening, closing = "", ""
+    for k in range(depth):
+        opening += '{"arrayValue":{"values":[' if k % 2 == 0 else '{"kvlistValue":{"values":[{"key":"k[]","value":'
+        closing = ("]}}" if k % 2 == 0 else "}]}}") + closing
+    return F.concat(F.lit(opening), member, F.lit(closing))
+
+
 def anyvalue(lake):
     e = _table(lake, "events")
     kind, number = F.col("event_type"), F.col("event_id").cast("string")
     quote = F.lit('"')
+    member = F.concat(F.lit('{"stringValue":"['), kind, F.lit('] \\\\ \\"'), number, F.lit('\\""}'))
     body = F.concat(
         F.lit('[{"key":"s","value":{"stringValue":"first"}},{"key":"s","value":{"stringValue":"'),
         kind,
@@ -127,10 +137,12 @@ def anyvalue(lake):
         kind,
         F.lit('"}},{"key":"y","value":{"arrayValue":{"values":[{"intValue":'),
         F.col("user_id").cast("string"),
-        F.lit('}]}}},{"key":"z"}]}}},{"key":"","value":{"intValue":1}},{"key":"none"},{"key":"empty","value":{}}]'),
+        F.lit('}]}}},{"key":"z"}]}}},{"key":"","value":{"intValue":1}},{"key":"none"},{"key":"empty","value":{}}'),
+        *[x for k in (3, 6) for x in (F.lit(f',{{"key":"l{k}","value":'), _nested(k, member), F.lit("}"))],
+        F.lit("]"),
     )
-    flat = e.select("event_id", flatten_anyvalue(F.from_json(body, attributes_type())).alias("f"))
-    return flat.select("event_id", *[entry(F.col("f"), k).alias(k) for k in "sbndam"], F.size("f").alias("entries"))
+    flat = e.select("event_id", flatten_anyvalue(F.from_json(body, ATTRIBUTES)).alias("f"))
+    return flat.select("event_id", *[entry(F.col("f"), k).alias(k) for k in ("s", "b", "n", "d", "a", "m", "l3", "l6")], F.size("f").alias("entries"))
 
 
 def ns(lake):

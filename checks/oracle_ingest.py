@@ -50,6 +50,14 @@ def present(*columns: str) -> str:
 
 # --- requests -------------------------------------------------------------------
 
+def nested_text(depth: int) -> str:
+    """Text of lists and key/value lists by turns around a string, the outermost a list."""
+    text = """'[' || event_type || '] \\ "' || event_id || '"'"""
+    for k in reversed(range(depth)):
+        text = f"CAST(to_json([{text}]) AS VARCHAR)" if k % 2 == 0 else f"CAST(json_object('k[]', {text}) AS VARCHAR)"
+    return text
+
+
 _PROMOTED = ("model", "language", "subtype", "start_type", "query_source", "tool_name", "decision")
 _MB = f"WITH {METRIC_BASE}\n"
 _EB = f"WITH {EVENT_BASE}\n"
@@ -73,7 +81,8 @@ SQL: dict[str, str] = {
     "flatten_anyvalue": """SELECT event_id, event_type AS s, 'true' AS b, CAST(event_id AS VARCHAR) AS n,
         CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS d,
         '["' || event_id || '","' || event_type || '",null]' AS a,
-        '{"x":"' || event_type || '","y":"[\\"' || user_id || '\\"]"}' AS m, CAST(6 AS BIGINT) AS entries FROM events""",
+        '{"x":"' || event_type || '","y":"[\\"' || user_id || '\\"]"}' AS m, """
+    + f"{nested_text(3)} AS l3, {nested_text(6)} AS l6, CAST(8 AS BIGINT) AS entries FROM events",
     "parse_ns": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN epoch_us(ts) * 1000 + 789 WHEN 1 THEN 0 WHEN 2 THEN 0
           WHEN 3 THEN 0 WHEN 4 THEN 0 ELSE epoch_us(ts) * 1000 + 7 END AS ts_ns,
         CASE WHEN event_id % 6 IN (0, 5) THEN strftime(ts, '%Y-%m-%d %H:%M:%S.') || lpad(CAST(

@@ -72,43 +72,33 @@ def hot_column(prefix: str, key: str) -> str:
 
 
 # OTLP/JSON. Leaf values are read as text because integers may arrive as strings or
-# numbers; values nest to a fixed depth because a Spark schema cannot recurse, and
-# what lies deeper stays JSON text.
-ANY_VALUE_DEPTH = 2
-
-
-def any_value(depth: int = ANY_VALUE_DEPTH) -> str:
-    scalars = "stringValue: STRING, boolValue: STRING, intValue: STRING, doubleValue: STRING"
-    if depth == 0:
-        return f"STRUCT<{scalars}, arrayValue: STRUCT<values: STRING>, kvlistValue: STRUCT<values: STRING>>"
-    inner = any_value(depth - 1)
-    return (
-        f"STRUCT<{scalars}, arrayValue: STRUCT<values: ARRAY<{inner}>>, "
-        f"kvlistValue: STRUCT<values: ARRAY<STRUCT<key: STRING, value: {inner}>>>>"
-    )
-
-
-def attributes_type(depth: int = ANY_VALUE_DEPTH) -> str:
-    return f"ARRAY<STRUCT<key: STRING, value: {any_value(depth)}>>"
+# numbers. Lists and key/value lists are read as JSON text, since a Spark schema cannot
+# recurse; `otlp.nested_texts` works through them at any depth.
+_SCALARS = "stringValue: STRING, boolValue: STRING, intValue: STRING, doubleValue: STRING"
+ANY_VALUE = f"STRUCT<{_SCALARS}, arrayValue: STRUCT<values: STRING>, kvlistValue: STRUCT<values: STRING>>"
+ATTRIBUTES = f"ARRAY<STRUCT<key: STRING, value: {ANY_VALUE}>>"
+# An innermost list: its members are values or keys with values, in which lists are worked out already.
+_WORKED_OUT = f"{_SCALARS}, arrayValue: STRUCT<values: STRUCT<list: STRING>>, kvlistValue: STRUCT<values: STRUCT<fields: STRING>>"
+MEMBERS = f"ARRAY<STRUCT<key: STRING, value: STRUCT<{_WORKED_OUT}>, {_WORKED_OUT}>>"
 
 
 _SCOPE = "scope: STRUCT<name: STRING, version: STRING>"
 _POINTS = (
-    f"STRUCT<dataPoints: ARRAY<STRUCT<attributes: {attributes_type()}, timeUnixNano: STRING, "
+    f"STRUCT<dataPoints: ARRAY<STRUCT<attributes: {ATTRIBUTES}, timeUnixNano: STRING, "
     "startTimeUnixNano: STRING, asInt: STRING, asDouble: STRING>>>"
 )
 OTLP_METRICS = f"""
     resourceMetrics ARRAY<STRUCT<
-        resource: STRUCT<attributes: {attributes_type()}>,
+        resource: STRUCT<attributes: {ATTRIBUTES}>,
         scopeMetrics: ARRAY<STRUCT<{_SCOPE},
             metrics: ARRAY<STRUCT<name: STRING, unit: STRING, sum: {_POINTS}, gauge: {_POINTS}>>>>>>,
     _corrupt_record STRING
 """
 OTLP_LOGS = f"""
     resourceLogs ARRAY<STRUCT<
-        resource: STRUCT<attributes: {attributes_type()}>,
+        resource: STRUCT<attributes: {ATTRIBUTES}>,
         scopeLogs: ARRAY<STRUCT<{_SCOPE},
             logRecords: ARRAY<STRUCT<timeUnixNano: STRING, observedTimeUnixNano: STRING, severityNumber: STRING,
-                body: STRUCT<stringValue: STRING>, attributes: {attributes_type()}>>>>>>,
+                body: STRUCT<stringValue: STRING>, attributes: {ATTRIBUTES}>>>>>>,
     _corrupt_record STRING
 """

@@ -7,36 +7,81 @@ from pyspark.sql import functions as F
 
 from usagelake.functions.maps import entry
 from usagelake.functions.text import number_text, parse_ns
-from usagelake.schemas import ANY_VALUE_DEPTH, OTLP_LOGS, OTLP_METRICS
+from usagelake.schemas import MEMBERS, OTLP_LOGS, OTLP_METRICS
 
 _PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
-def value_text(value: Column, depth: int = ANY_VALUE_DEPTH) -> Column:
-    """Text of an attribute value: string, bool, int, double, array, key/value list, in that order."""
+_INNERMOST = r"\[[^\[\]]*+\]"  # a list without lists in it, once brackets inside strings are escaped
+
+
+def _scalar_text(value: Column) -> Column:
     as_double = value["doubleValue"].try_cast("double")
-    scalar = F.coalesce(
+    return F.coalesce(
         value["stringValue"],
         value["boolValue"],
         value["intValue"],
         F.when(as_double.isNotNull(), number_text(as_double)).otherwise(value["doubleValue"]),
     )
-    array, pairs = value["arrayValue"]["values"], value["kvlistValue"]["values"]
-    if depth == 0:
-        return F.coalesce(scalar, array, pairs)
-    items = F.to_json(F.transform(array, lambda v: value_text(v, depth - 1)))
-    fields = F.to_json(
-        F.map_filter(
-            F.map_from_entries(
-                F.transform(
-                    F.filter(pairs, lambda e: (F.length(e["key"]) > 0) & e["value"].isNotNull()),
-                    lambda e: F.struct(e["key"], value_text(e["value"], depth - 1)),
-                )
-            ),
-            lambda _, v: v.isNotNull(),
-        )
+
+
+def _without_brackets(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("["), F.lit("\\u005b")), F.lit("]"), F.lit("\\u005d"))
+
+
+def _worked_out(members: Column) -> Column:
+    """JSON text of an innermost list -> JSON object with its texts as a list of values and as a key/value list."""
+
+    def text(value: Column) -> Column:
+        return F.coalesce(_scalar_text(value), value["arrayValue"]["values"]["list"], value["kvlistValue"]["values"]["fields"])
+
+    parsed = F.from_json(members, MEMBERS)
+    keyed = F.filter(parsed, lambda e: (F.length(e["key"]) > 0) & e["value"].isNotNull())
+    fields = F.map_from_entries(F.transform(keyed, lambda e: F.struct(e["key"], text(e["value"]))))
+    both = F.struct(
+        F.to_json(F.transform(parsed, text)).alias("list"),
+        F.to_json(F.map_filter(fields, lambda _, v: v.isNotNull())).alias("fields"),
+    )
+    return F.coalesce(_without_brackets(F.to_json(both)), F.lit("{}"))
+
+
+def nested_texts(values: Column) -> Column:
+    """JSON text of a list of values or of keys with values, nested to any depth -> STRUCT<list, fields> of its texts.
+
+    Inside out: each step of the fold replaces all innermost lists by their texts, as many steps as lists are nested.
+    Anything but a list gives NULL.
+    """
+
+    def once(value: Column, f) -> Column:
+        return F.element_at(F.transform(F.array(value), f), 1)
+
+    def levels(text: Column) -> Column:
+        def count(at: Column, bracket: Column) -> Column:
+            now = at["now"] + F.when(bracket == "[", 1).when(bracket == "]", -1).otherwise(0)
+            return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+        start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+        return F.aggregate(F.split(F.regexp_replace(text, r"[^\[\]]+", ""), ""), start, count, lambda at: at["most"])
+
+    def step(text: Column, _: Column) -> Column:
+        lists = F.regexp_extract_all(text, F.lit(_INNERMOST), F.lit(0))
+        texts = F.concat(F.transform(lists, _worked_out), F.array(F.lit("")))
+        return F.array_join(F.zip_with(F.split(text, _INNERMOST, -1), texts, lambda piece, t: F.concat(piece, t)), "")
+
+    # no escaped quotes or backslashes: every second part between quotes is a string
+    parts = F.split(F.replace(F.replace(values, F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022")), '"', -1)
+    escaped = F.array_join(F.transform(parts, lambda s, i: F.when(i % 2 == 1, _without_brackets(s)).otherwise(s)), '"')
+    done = once(escaped, lambda text: F.aggregate(F.sequence(F.lit(1), levels(text)), text, step))
+    return F.from_json(F.when(values.rlike(r"^\s*\["), done), "STRUCT<list: STRING, fields: STRING>")
+
+
+def value_text(value: Column) -> Column:
+    """Text of an attribute value: string, bool, int, double, array, key/value list, in that order."""
+    return F.coalesce(
+        _scalar_text(value),
+        nested_texts(value["arrayValue"]["values"])["list"],
+        nested_texts(value["kvlistValue"]["values"])["fields"],
     )
-    return F.coalesce(scalar, items, fields)
 
 
 def flatten_anyvalue(attributes: Column) -> Column:
