@@ -17,7 +17,7 @@ from usagelake.functions.maps import entry, text, zero
 from usagelake.functions.text import ns_text, parse_ns
 from usagelake.lake import Lake
 from usagelake.operators import adapt, dimensions, redact, replace
-from usagelake.operators.counters import cumulative_to_delta
+from usagelake.operators.counters import cumulative_to_delta, read_deltas, refresh_deltas
 from usagelake.operators.relational import merge_full_outer, merge_left, scope, team_join, union_all
 from usagelake.sources import folders, tables, testdata
 from usagelake.sources.otlp import flatten_anyvalue, read_otlp_logs, read_otlp_metrics, reject_malformed
@@ -433,6 +433,25 @@ def delta(lake):
     return cumulative_to_delta(counters, ["user_hash", "name"])
 
 
+def carried_delta(lake):
+    """Deltas out of the stream: the days each round touched, late points in the second one."""
+    paths, log, checkpoint = _paths(lake), lake.scratch("log"), lake.scratch("offsets")
+    silver, path = (lake.scratch("silver-m"), lake.scratch("silver-e")), lake.scratch("deltas")
+    series, columns = ["user_hash", "name"], "user_hash STRING, name STRING, ts_ns BIGINT, value DOUBLE"
+
+    def derive(days):
+        points = lake.spark.read.parquet(silver[0]).where("kind = 'counter'").select(*series, "ts_ns", "value", "event_date")
+        refresh_deltas(points, path, days["metrics"], series)
+
+    messages = _read_log(lake, _log(lake, _metric_messages(lake), *[_event_messages(lake)] * 2))
+    late = F.pmod(F.xxhash64("value"), F.lit(5)) == 0
+    for rows in (messages.where(~late), messages.where(late)):
+        rows.write.mode("append").parquet(log)
+        _store(lake, log, paths, checkpoint)
+        store.refresh_silver(lake.spark, paths, *silver, derive=derive)
+    return read_deltas(lake.spark, path, f"{columns}, event_date DATE", series).drop("event_date")
+
+
 # --- messages and streams ---------------------------------------------------------
 
 
@@ -866,4 +885,5 @@ PIPELINE: dict[str, Callable[[Lake], DataFrame]] = {
     "silver_refresh": silver_refreshed,
     "compact_days": compacted,
     "cumulative_to_delta": delta,
+    "optional_cumulative": carried_delta,
 }

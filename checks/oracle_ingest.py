@@ -273,6 +273,9 @@ SQL |= {
           round(CAST(CASE WHEN p IS NULL OR value < p THEN value ELSE value - p END AS DOUBLE), 6) AS delta FROM o""",
 }
 
+# the same deltas, carried from batch to batch
+SQL["optional_cumulative"] = SQL["cumulative_to_delta"]
+
 # --- redaction ------------------------------------------------------------------
 
 _PLANTED = """CASE doc_id % 7 WHEN 0 THEN ' key sk-abcdefghijklmnop1234' WHEN 1 THEN ' token ghp_abcdefghij0123456789'
@@ -396,4 +399,3 @@ SQL |= {
           SELECT user_hash, count(*) AS n FROM m GROUP BY 1 UNION ALL SELECT user_hash, count(*) FROM e GROUP BY 1)
         GROUP BY 1""",
 }
-
