@@ -443,7 +443,7 @@ def carried_delta(lake):
         points = lake.spark.read.parquet(silver[0]).where("kind = 'counter'").select(*series, "ts_ns", "value", "event_date")
         refresh_deltas(points, path, days["metrics"], series)
 
-    messages = _read_log(lake, _log(lake, _metric_messages(lake), *[_event_messages(lake)] * 2))
+    messages = _read_log(lake, _log(lake, *[_metric_messages(lake)] * 2))
     late = F.pmod(F.xxhash64("value"), F.lit(5)) == 0
     for rows in (messages.where(~late), messages.where(late)):
         rows.write.mode("append").parquet(log)

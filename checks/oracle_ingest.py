@@ -273,8 +273,9 @@ SQL |= {
           round(CAST(CASE WHEN p IS NULL OR value < p THEN value ELSE value - p END AS DOUBLE), 6) AS delta FROM o""",
 }
 
-# the same deltas, carried from batch to batch
-SQL["optional_cumulative"] = SQL["cumulative_to_delta"]
+# the same deltas, carried from batch to batch; messages hold the keyed hash of the user
+SQL["optional_cumulative"] = f"""SELECT {hmac_of('user_hash')} AS user_hash, name, ts_ns, value, delta
+    FROM ({SQL["cumulative_to_delta"]})"""
 
 # --- redaction ------------------------------------------------------------------
 
