@@ -31,6 +31,17 @@ CHUNK = 1 << 16
 LIMIT = 2048
 _ARCS, _LONG = 1 << 20, 64  # arcs kept, and the longest unit that is kept
 
+# Where the library's Unicode tables differ from those of Python and its regex module.
+#: Lower cases of Unicode 16 and 17.
+_NEW_LOWER = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)},
+    **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+#: Code points that the library takes for no letters.
+_NO_LETTERS = "".join(chr(p + c) for p in (0x32000, 0x3D000, 0x3E000, 0x3F000) for c in (0x808, 0x85C, 0x988))
+_ODD = re.compile(f"[{_NO_LETTERS}]")
+
 
 def _byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the
@@ -60,7 +71,10 @@ class Transducer:
         merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.letters = _byte_letters()
-        self.piece = regex.compile(split["pattern"]["Regex"])
+        pattern = split["pattern"]["Regex"]
+        self.piece = regex.compile(pattern)
+        letter = rf"[\p{{L}}--[{_NO_LETTERS}]]"
+        self.odd_piece = regex.compile(pattern.replace(r"\p{L}", letter), regex.V1)
         special = sorted((re.escape(t["content"]) for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(special) or r"(?!)")
         self.arcs: dict[str, int] = {}
@@ -99,8 +113,13 @@ class Transducer:
 
     def _plain(self, text: str) -> int:
         total = 0
-        text = "".join(c.lower() for c in unicodedata.normalize("NFC", text)) if not text.isascii() else text.lower()
-        for piece in self.piece.findall(text):
+        pattern = self.piece
+        if text.isascii():
+            text = text.lower()
+        else:
+            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text).translate(_NEW_LOWER))
+            pattern = self.odd_piece if _ODD.search(text) else pattern
+        for piece in pattern.findall(text):
             n = self.pieces.get(piece)
             if n is None:
                 n = self.merged(piece)

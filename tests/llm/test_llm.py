@@ -115,6 +115,16 @@ def test_token_counts(docs):
         assert machine.count(text, 7) == n  # chunk maps compose to the same count
 
 
+@pytest.mark.parametrize("around", ["{}b", "7{}!"])
+def test_token_counts_of_every_code_point(around):
+    library, machine = Tokenizer.from_file(BPE), tokens.Transducer(BPE)
+    texts = [around.format(chr(c)) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(texts), 50_000):
+        part = texts[i : i + 50_000]
+        want = [len(e.ids) for e in library.encode_batch(part, add_special_tokens=False)]
+        assert [t for t, n in zip(part, want) if machine.count(t) != n] == []
+
+
 PAGE = (
     '<html><head><title>t</title></head><body><nav><a href="/">Home</a></nav><div class="cookie-notice">We use</div>'
     "<article><h1>Head &amp; line</h1><p>One <b>two</b><br>three&nbsp;four<p>a &lt; b<script>var x='</p>'</script>"
