@@ -1,8 +1,8 @@
-"""Token counts by a compiled finite-state transducer.
+"""Token counts by remembered units and chunk state maps.
 
-The tokenizer file is compiled into a transducer over text: white space always returns it to its start state, and
-between two white spaces it reads one unit. An arc for a unit carries the number of tokens it emits; arcs are
-compiled when first met (normalization, splitting, then pair merging) and kept, as in a lazily built automaton.
+No transducer over bytes is built (the README says so). White space always returns the tokenizer to its start state, and
+between two white spaces it reads one unit. The number of tokens of a unit is worked out when first met (normalization,
+splitting, then pair merging) and kept.
 
 A text is read in chunks of equal length. What a chunk does to any state the transducer can be in is its state map:
 how many tokens its inner units emit, the text before its first white space, which completes the unit left open by
