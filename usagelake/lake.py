@@ -32,13 +32,15 @@ def _state(spark: SparkSession, paths: tuple[str, ...]) -> tuple:
     return tuple(str(x) for x in row)
 
 
-def _land(rows: DataFrame, path: str) -> None:
-    """Write request bodies uncompressed in small row groups.
+def _land(rows: DataFrame, path: str) -> DataFrame:
+    """Write request bodies compressed, in small row groups and files of bounded rows.
 
-    Readers size their splits by file bytes, and JSON text compresses far below
-    the work of decoding it.
+    JSON text compresses far below the work of decoding it and readers size their
+    splits by file bytes; what a file costs to open keeps the rows of a split bounded.
     """
-    rows.write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(path)
+    writer = rows.write.option("compression", "zstd").option("maxRecordsPerFile", 100_000)
+    writer.option("parquet.block.size", 16 << 20).parquet(path)
+    return rows
 
 
 class Lake:
