@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from usagelake.operators import dimensions
+from usagelake.operators.replace import replace_events, replace_metrics
 from usagelake.plans.repository import Analytics
 from usagelake.schemas import PERSON_DIRECTORY, TEAM_MEMBERSHIP
 from usagelake.session import prepare, work_dir
@@ -58,16 +59,16 @@ class Lake:
         return self._written_once(
             "silver-metrics",
             ("lineitem", "orders"),
-            lambda: tables.silver_metrics(self.bronze_metrics()),
-            lambda rows, path: tables.write_silver(rows, path, tables.METRIC_SORT),
+            lambda: replace_metrics(self.bronze_metrics()),
+            lambda rows, path: tables.write_silver(rows, path, tables.METRIC_SORT, tables.promote_metrics),
         )
 
     def events(self) -> DataFrame:
         return self._written_once(
             "silver-events",
             ("events",),
-            lambda: tables.silver_events(self.bronze_events()),
-            lambda rows, path: tables.write_silver(rows, path, tables.EVENT_SORT),
+            lambda: replace_events(self.bronze_events()),
+            lambda rows, path: tables.write_silver(rows, path, tables.EVENT_SORT, tables.promote_events),
         )
 
     def metric_requests(self) -> DataFrame:
@@ -103,11 +104,12 @@ class Lake:
     def _dimension(self, name: str, schema: str, history: Callable[[], DataFrame]) -> DataFrame:
         """A stored dimension: two thirds of the versions folded into the snapshot, the rest as changes."""
 
-        def write(rows: DataFrame, path: str) -> None:
+        def write(rows: DataFrame, path: str) -> DataFrame:
             late = F.pmod(F.xxhash64("account_hash", "updated_at"), F.lit(3)) == 0
             dimensions.append_changes(rows.where(~late), path)
             dimensions.fold(self.spark, path, schema)
             dimensions.append_changes(rows.where(late), path)
+            return rows
 
         path, _ = self._folder_once(name, ("customer",), history, write)
         return dimensions.current(self.spark, path, schema)
@@ -131,7 +133,7 @@ class Lake:
         name: str,
         inputs: tuple[str, ...],
         build: Callable[[], DataFrame],
-        write: Callable[[DataFrame, str], None],
+        write: Callable[[DataFrame, str], DataFrame],  # gives the rows as stored
     ) -> DataFrame:
         path, schema = self._folder_once(name, inputs, build, write)
         return self.spark.read.schema(schema).parquet(path)
@@ -141,12 +143,11 @@ class Lake:
         name: str,
         inputs: tuple[str, ...],
         build: Callable[[], DataFrame],
-        write: Callable[[DataFrame, str], None],
+        write: Callable[[DataFrame, str], DataFrame],  # gives the rows as stored
     ) -> tuple[str, StructType]:
         paths = tuple(f"{self.sf_dir}/{t}.parquet" for t in inputs)
         key = (self.spark.sparkContext.applicationId, name, paths, _state(self.spark, paths))
         if key not in _written:
             path, rows = self.scratch(name), build()
-            write(rows, path)
-            _written[key] = path, rows.schema
+            _written[key] = path, write(rows, path).schema
         return _written[key]
