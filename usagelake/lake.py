@@ -59,7 +59,7 @@ class Lake:
         return self._written_once(
             "silver-metrics",
             ("lineitem", "orders"),
-            lambda: replace_metrics(self.bronze_metrics()),
+            lambda: replace_metrics(testdata.bronze_metrics(self.spark, self.sf_dir, by_day=True)),
             lambda rows, path: tables.write_silver(rows, path, tables.METRIC_SORT, tables.promote_metrics),
         )
 
@@ -67,7 +67,7 @@ class Lake:
         return self._written_once(
             "silver-events",
             ("events",),
-            lambda: replace_events(self.bronze_events()),
+            lambda: replace_events(testdata.bronze_events(self.spark, self.sf_dir, by_day=True)),
             lambda rows, path: tables.write_silver(rows, path, tables.EVENT_SORT, tables.promote_events),
         )
 
