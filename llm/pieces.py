@@ -224,26 +224,36 @@ def frequent_units(counts: DataFrame, model: Model) -> pa.Table:
 
 _dictionaries: dict[str, dict[str, bytes]] = {}
 _met: dict[str, bytes] = {}
+_odd: set[str] = set()  # units met whose ids decode to something else; none are known
 
 
-def _dictionary(shared) -> dict[str, bytes]:
-    """The broadcast table as a dictionary, built once per process; only the latest one is kept."""
+def _tried(unit: str, ids: bytes, table: dict[int, bytes]) -> None:
+    """Decode the ids of one unit, so that texts of units that give themselves again need not be decoded whole."""
+    if b"".join([table.get(i, b"") for i in memoryview(ids).cast("i")]) != unit.replace(BAR, " ").encode("utf-8"):
+        _odd.add(unit)
+
+
+def _dictionary(shared, decoder: dict[int, bytes]) -> dict[str, bytes]:
+    """The broadcast table as a dictionary, built and tried once per process; only the latest one is kept."""
     name, table = shared.value
     if name not in _dictionaries:
-        _dictionaries.clear(), _met.clear()
+        _dictionaries.clear(), _met.clear(), _odd.clear()
         out = {}
         for batch in table.to_batches(max_chunksize=65_536):
             ids = batch.column(1)
             flat, at = ids.flatten().to_numpy().astype("<i4"), ids.offsets.to_numpy() - ids.offsets[0].as_py()
             out.update((u, flat[at[k] : at[k + 1]].tobytes()) for k, u in enumerate(batch.column(0).to_pylist()))
+        for unit, coded in out.items():
+            _tried(unit, coded, decoder)
         _dictionaries[name] = out
     return _dictionaries[name]
 
 
-def _rare(unit: str, model: Model) -> bytes:
+def _rare(unit: str, model: Model, decoder: dict[int, bytes]) -> bytes:
     ids = _met.get(unit)
     if ids is None:
         ids = model.merged(unit)
+        _tried(unit, ids, decoder)
         if len(unit) <= FOLDED:
             if len(_met) >= _MEMO:
                 _met.clear()
@@ -281,7 +291,8 @@ def encoded(df: DataFrame, path: str, text: str = "text", drop: tuple[str, ...]
     shared = df.sparkSession.sparkContext.broadcast((uuid4().hex, frequent_units(counts, model)))
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = _dictionary(shared), model.decoder()
+        table = model.decoder()
+        known = _dictionary(shared, table)
         for b in batches:
             ids, good = [], []
             for t in b.column(at):
@@ -289,9 +300,10 @@ def encoded(df: DataFrame, path: str, text: str = "text", drop: tuple[str, ...]
                 units = model.units(t)
                 one = list(map(known.get, units))
                 if None in one:
-                    one = [x if x is not None else _rare(u, model) for x, u in zip(one, units, strict=True)]
+                    one = [x if x is not None else _rare(u, model, table) for x, u in zip(one, units, strict=True)]
                 ids.append(np.frombuffer(b"".join(one), "<i4"))
-                good.append(decode(ids[-1].tolist(), table) == t)
+                # decoding joins the bytes of the units, so units that give themselves again give all but bars
+                good.append(decode(ids[-1].tolist(), table) == t if _odd else BAR not in t)
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), flat, pa.array(good, pa.bool_())], names=[*(f"c{i}" for i in kept), "ids", "round_trip"])
