@@ -15,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
 
 _own: dict[str, str] = {}
+_remembered: dict[str, tuple] = {}  # memos of this process by operator
 
 
 def folder(spark: SparkSession) -> str:
@@ -50,6 +51,17 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def remember(operator: str, *memos) -> None:
+    """Name what an operator keeps in this process from task to task, and empty what other operators have kept.
+
+    Workers outlive the stage they were started for, so they would hold the memos of all stages of a chain.
+    """
+    for other in [k for k in _remembered if k != operator]:
+        for memo in _remembered.pop(other):
+            memo.clear()
+    _remembered[operator] = memos
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for NULL."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from llm.common import WORDS, components, stash
+from llm.common import WORDS, components, remember, stash
 
 SHINGLE = 5
 PERCENT = 75
@@ -88,6 +88,7 @@ def half_keys(mins: np.ndarray) -> np.ndarray:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    remember("minhash", _words)
     for b in batches:
         out = {"n": [], "cid": [], "halves": [], "signature": []}
         for t in b.column(2):
@@ -151,6 +152,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    remember("minhash", _words)
     at, own = None, None
     for batch in batches:
         found = []
@@ -230,6 +232,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             {"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())}
         )
 
+    remember("minhash", _words)
     at, rows = None, []
     for batch in batches:
         for left, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from llm.common import stash
+from llm.common import remember, stash
 
 BAR = "▁"  # stands for a space
 FOLDED = 60  # characters of a unit that the fold handles, as bits of a long; longer ones are merged where they are met
@@ -273,6 +273,7 @@ def encoded(df: DataFrame, path: str, text: str = "text", drop: tuple[str, ...]
     types = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember("pieces", _dictionaries, _met, _odd)
         counts: Counter[str] = Counter()
 
         def flushed():
@@ -291,6 +292,7 @@ def encoded(df: DataFrame, path: str, text: str = "text", drop: tuple[str, ...]
     shared = df.sparkSession.sparkContext.broadcast((uuid4().hex, frequent_units(counts, model)))
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember("pieces", _dictionaries, _met, _odd)
         table = model.decoder()
         known = _dictionary(shared, table)
         for b in batches:

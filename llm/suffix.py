@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import stash
+from llm.common import remember, stash
 
 LENGTH = 200
 GRAM = 64
@@ -93,6 +93,7 @@ def _i64(a: np.ndarray) -> pa.Array:
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    remember("suffix", _powers)
     seen: set[int] = set()  # equal texts of one task are read once; that they repeat is known from their number
     names = ["rid", "at", "low", "high", "gram", "name"]
     for b in batches:
@@ -137,6 +138,7 @@ def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (rid, at, gram, weight, step, first, last, whole, core): STEP offsets before the anchor at a time."""
+    remember("suffix", _powers)
     names = ["rid", "at", "gram", "weight", "step", "first", "last", "whole", "core"]
     for b in batches:
         for lo, hi, h, base in _pooled(b, b.num_columns - 1):
@@ -157,6 +159,7 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (rid, start, offset, gram, weight, name) of single strings."""
+    remember("suffix", _powers)
     names = ["rid", "start", "offset", "gram", "weight", "name"]
     for b in batches:
         steps = b.column(b.num_columns - 1).to_pylist()
