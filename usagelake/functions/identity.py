@@ -16,8 +16,8 @@ _BLOCK = 64  # SHA-256 block size, the HMAC key length
 
 def _short_digest(hex_digest: Column) -> Column:
     """base64url of a hex digest, cut to the id length."""
-    encoded = F.translate(F.base64(F.unhex(hex_digest)), "+/", "-_")
-    return F.substring(encoded, 1, HASH_LENGTH)
+    encoded = F.substring(F.base64(F.unhex(hex_digest)), 1, HASH_LENGTH)
+    return F.replace(F.replace(encoded, F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_"))
 
 
 def content_hash(value: Column) -> Column:
@@ -74,7 +74,7 @@ def metric_dedup_id() -> Column:
 
 
 def _pairs(map_column: Column, value_text) -> Column:
-    ordered = F.array_sort(F.map_entries(map_column))
+    ordered = F.sort_array(F.map_entries(map_column))
     return F.array_join(F.transform(ordered, lambda e: F.concat(e["key"], F.lit("="), value_text(e["value"]))), ",")
 
 

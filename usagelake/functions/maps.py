@@ -83,5 +83,5 @@ def day_text(day: Column) -> Column:
 
 def sorted_entries(map_column: Column) -> Column:
     """'k=v' pairs of a string map in key order, joined by commas."""
-    pairs = F.array_sort(F.map_entries(map_column))
+    pairs = F.sort_array(F.map_entries(map_column))
     return F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")

@@ -15,14 +15,17 @@ _PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_reco
 _INNERMOST = r"\[[^\[\]]*+\]"  # a list without lists in it, once brackets inside strings are escaped
 
 
+def _once(value: Column, f) -> Column:
+    """f(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _scalar_text(value: Column) -> Column:
-    as_double = value["doubleValue"].try_cast("double")
-    return F.coalesce(
-        value["stringValue"],
-        value["boolValue"],
-        value["intValue"],
-        F.when(as_double.isNotNull(), number_text(as_double)).otherwise(value["doubleValue"]),
-    )
+    def double_text(given: Column) -> Column:
+        return _once(given.try_cast("double"), lambda x: F.when(x.isNotNull(), number_text(x)).otherwise(given))
+
+    double = value["doubleValue"]
+    return F.coalesce(value["stringValue"], value["boolValue"], value["intValue"], F.when(double.isNotNull(), double_text(double)))
 
 
 def _without_brackets(text: Column) -> Column:
@@ -52,9 +55,6 @@ def nested_texts(values: Column) -> Column:
     Anything but a list gives NULL.
     """
 
-    def once(value: Column, f) -> Column:
-        return F.element_at(F.transform(F.array(value), f), 1)
-
     def levels(text: Column) -> Column:
         def count(at: Column, bracket: Column) -> Column:
             now = at["now"] + F.when(bracket == "[", 1).when(bracket == "]", -1).otherwise(0)
@@ -71,7 +71,7 @@ def nested_texts(values: Column) -> Column:
     # no escaped quotes or backslashes: every second part between quotes is a string
     parts = F.split(F.replace(F.replace(values, F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022")), '"', -1)
     escaped = F.array_join(F.transform(parts, lambda s, i: F.when(i % 2 == 1, _without_brackets(s)).otherwise(s)), '"')
-    done = once(escaped, lambda text: F.aggregate(F.sequence(F.lit(1), levels(text)), text, step))
+    done = _once(escaped, lambda text: F.aggregate(F.sequence(F.lit(1), levels(text)), text, step))
     return F.from_json(F.when(values.rlike(r"^\s*\["), done), "STRUCT<list: STRING, fields: STRING>")
 
 
@@ -85,13 +85,20 @@ def value_text(value: Column) -> Column:
 
 
 def flatten_anyvalue(attributes: Column) -> Column:
-    """KeyValue[] -> MAP<STRING,STRING>; entries without key or value are dropped, later keys win."""
+    """KeyValue[] -> MAP<STRING,STRING>; entries without key or value are dropped, later keys win.
+
+    A list of strings under non-empty keys becomes a map as it is: the functions with a lambda, which Spark interprets
+    member by member, run for the other lists only.
+    """
+    keys, strings = attributes["key"], attributes["value"]["stringValue"]
+    # false, and not NULL, only when every member is there; a string that is equal takes the longer way
+    plain = ~F.array_contains(keys, "") & ~F.array_contains(strings, "\0")
     texts = F.transform(
-        F.filter(attributes, lambda e: (F.length(e["key"]) > 0) & e["value"].isNotNull()),
-        lambda e: F.struct(e["key"].alias("key"), value_text(e["value"]).alias("value")),
+        attributes,
+        lambda e: F.struct(F.when(F.length(e["key"]) > 0, e["key"]).alias("key"), value_text(e["value"]).alias("value")),
     )
-    present = F.filter(texts, lambda e: e["value"].isNotNull())
-    return F.coalesce(F.map_from_entries(present), F.create_map().cast("map<string,string>"))
+    present = F.map_from_entries(F.filter(texts, lambda e: e["key"].isNotNull() & e["value"].isNotNull()))
+    return F.coalesce(F.when(plain, F.map_from_arrays(keys, strings)).otherwise(present), F.create_map().cast("map<string,string>"))
 
 
 def _parsed(bodies: DataFrame, column: str, schema: str) -> DataFrame:
@@ -139,34 +146,16 @@ def read_otlp_metrics(bodies: DataFrame, column: str = "value", keep: tuple[str,
         .select(*kept, "resource", F.col("sm.scope").alias("scope"), F.explode("sm.metrics").alias("m"))
         .where(F.length("m.name") > 0)
     )
-
-    def tagged(kind: str, points: Column) -> Column:
-        return F.transform(
-            F.coalesce(points, F.array()),
-            lambda p: F.struct(
-                F.lit(kind).alias("kind"), p.alias("dp"),
-            ),
-        )
-
-    points = scopes.select(
-        *kept,
-        "resource",
-        "scope",
-        "m.name",
-        "m.unit",
-        F.explode(
-            F.when(F.col("m.gauge.dataPoints").isNull(), tagged("counter", F.col("m.sum.dataPoints")))
-            .when(F.col("m.sum.dataPoints").isNull(), tagged("gauge", F.col("m.gauge.dataPoints")))
-            .otherwise(
-                F.concat(tagged("counter", F.col("m.sum.dataPoints")), tagged("gauge", F.col("m.gauge.dataPoints")))
-            )
-        ).alias("p"),
+    # Two steps without a lambda: Spark reads them in one generated loop.
+    kinds = [F.struct(F.lit(kind).alias("kind"), F.col(f"m.{part}.dataPoints").alias("points")) for kind, part in (("counter", "sum"), ("gauge", "gauge"))]
+    points = scopes.select(*kept, "resource", "scope", "m.name", "m.unit", F.explode(F.array(*kinds)).alias("of")).select(
+        *kept, "resource", "scope", "name", "unit", "of.kind", F.explode("of.points").alias("dp")
     )
     value = F.coalesce(
-        F.col("p.dp.asDouble").try_cast("double"),
+        F.col("dp.asDouble").try_cast("double"),
         F.when(
-            F.col("p.dp.asInt").isNotNull(),
-            F.coalesce(F.col("p.dp.asInt").try_cast("double"), F.lit(float("nan"))),
+            F.col("dp.asInt").isNotNull(),
+            F.coalesce(F.col("dp.asInt").try_cast("double"), F.lit(float("nan"))),
         ),
         F.lit(0.0),
     )
@@ -177,10 +166,10 @@ def read_otlp_metrics(bodies: DataFrame, column: str = "value", keep: tuple[str,
         F.col("scope.version").alias("scope_version"),
         "name",
         F.when(F.length("unit") > 0, F.col("unit")).alias("unit"),
-        F.col("p.kind").alias("kind"),
+        "kind",
         value.alias("value"),
-        parse_ns(F.coalesce("p.dp.timeUnixNano", "p.dp.startTimeUnixNano")).alias("ts_ns"),
-        flatten_anyvalue(F.col("p.dp.attributes")).alias("attributes"),
+        parse_ns(F.coalesce("dp.timeUnixNano", "dp.startTimeUnixNano")).alias("ts_ns"),
+        flatten_anyvalue(F.col("dp.attributes")).alias("attributes"),
     )
 
 

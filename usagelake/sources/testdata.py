@@ -74,9 +74,13 @@ def _replayed(rows: DataFrame, again: Column) -> DataFrame:
     )
 
 
-def _maps(columns: dict[str, Column], cast: str) -> Column:
-    pairs = F.create_map(*[x for k, v in columns.items() for x in (F.lit(k), v.cast(cast))])
-    return F.map_filter(pairs, lambda _, v: v.isNotNull())
+def _map(columns: dict[str, Column], cast: str) -> Column:
+    return F.create_map(*[x for k, v in columns.items() for x in (F.lit(k), v.cast(cast))])
+
+
+def _present(rows: DataFrame, *maps: str) -> DataFrame:
+    """Drop the NULL entries of maps. A step after ``_map``, whose columns a function with a lambda would interpret."""
+    return rows.withColumns({m: F.when(F.size(m) > 0, F.map_filter(m, lambda _, v: v.isNotNull())).otherwise(F.col(m)) for m in maps})
 
 
 # --- metrics --------------------------------------------------------------------
@@ -173,10 +177,10 @@ def bronze_metrics(spark: SparkSession, sf_dir: str, by_day: bool = False) -> Da
             "cost_center": F.lit(""),
             "user_hash": F.col("user"),
             "event_date": F.to_date("timestamp"),
-            "attributes": _maps({k: F.col(c) for k, c in _METRIC_ATTRIBUTES.items()}, "string"),
+            "attributes": _map({k: F.col(c) for k, c in _METRIC_ATTRIBUTES.items()}, "string"),
         }
     )
-    return filled.withColumn("dedup_id", metric_dedup_id()).select(*METRIC_COLUMNS, *([PART] if by_day else []))
+    return _present(filled, "attributes").withColumn("dedup_id", metric_dedup_id()).select(*METRIC_COLUMNS, *([PART] if by_day else []))
 
 
 # --- events ---------------------------------------------------------------------
@@ -193,6 +197,13 @@ def event_records(spark: SparkSession, sf_dir: str, by_day: bool = False) -> Dat
 
     Rows come dealt by correlation id or, ``by_day``, in parts of few days; the number of the part is then a column more.
     """
+    typed, record, dims, numbers = _event_columns(spark, sf_dir, by_day)
+    rows = typed.select(*record, _map(dims, "string").alias("dims"), _map(numbers, "double").alias("numbers"))
+    return _present(rows, "dims", "numbers")
+
+
+def _event_columns(spark: SparkSession, sf_dir: str, by_day: bool = False):
+    """The events table with event types, and over it the columns of a record, of its dims and of its numbers."""
     ts_ns = F.unix_micros("timestamp") * 1000 + F.col("i") % 1000
     raw = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("i"),
@@ -291,24 +302,23 @@ def event_records(spark: SparkSession, sf_dir: str, by_day: bool = False) -> Dat
         "skill_path_count": F.when(plugin & (k % 2 == 0), k % 5),
         "command_path_count": F.when(plugin, k % 4),
     }
-    return typed.select(
-        "i",
-        "k",
-        *([PART] if by_day else []),
-        "timestamp",
+    record = [
+        i,
+        k,
+        *([F.col(PART)] if by_day else []),
+        F.col("timestamp"),
         ts_ns.alias("ts_ns"),
         F.when(k < 95, "claude_code").otherwise("unknown").alias("source"),
-        "event_type",
+        F.col("event_type"),
         _name("org_", u % 4).alias("org_id"),
         _name("u", u).alias("user"),
         F.when(i % 97 != 0, F.concat(_name("s", u), F.lit("-"), F.date_format("timestamp", "yyyy-MM-dd"))).alias(
             "session_id"
         ),
-        "correlation_id",
+        F.col("correlation_id"),
         _name("1.", k % 3).alias("app_version"),
-        _maps(dims, "string").alias("dims"),
-        _maps(numbers, "double").alias("numbers"),
-    )
+    ]
+    return typed, record, dims, numbers
 
 
 def bronze_events(spark: SparkSession, sf_dir: str, by_day: bool = False) -> DataFrame:
@@ -401,14 +411,24 @@ def directory_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- export requests ------------------------------------------------------------
 
 
-def _string_attribute(key: str, value: Column) -> Column:
-    """KeyValue with a string value, NULL when the value is."""
-    pair = F.struct(F.lit(key).alias("key"), F.struct(value.cast("string").alias("stringValue")).alias("value"))
-    return F.when(value.isNotNull(), pair)
+# Requests are put together as JSON text: generated code does it, a list without its NULL members would be interpreted.
+# No text here holds a character that JSON escapes.
+
+
+def _members(columns: dict[str, Column], kind: str = "stringValue") -> list[Column]:
+    """JSON texts of KeyValues, NULL where the value is."""
+    quote = '"' if kind == "stringValue" else ""
+    return [F.concat(F.lit(f'{{"key":"{k}","value":{{"{kind}":{quote}'), v, F.lit(f"{quote}}}}}")) for k, v in columns.items()]
+
 
+def _double_text(value: Column) -> Column:
+    """JSON text of a double."""
+    digits = value.cast("string")
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.concat(F.lit('"'), digits, F.lit('"'))).otherwise(digits)
 
-def _attributes(columns: dict[str, Column]) -> Column:
-    return F.array_compact(F.array(*[_string_attribute(k, v) for k, v in columns.items()]))
+
+def _string_member(key: str, value: Column) -> Column:
+    return F.concat(F.lit(f'"{key}":"'), value.cast("string"), F.lit('"'))
 
 
 def _service() -> Column:
@@ -419,7 +439,7 @@ def metric_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One OTLP/JSON metrics request per line item: (ok, pk, name, ts_ns, value)."""
     p = metric_points(spark, sf_dir)
     known = F.col("source") != "unknown"
-    resource = _attributes(
+    resource = _members(
         {
             "service.name": _service(),
             "organization.id": F.col("org_id"),
@@ -429,7 +449,7 @@ def metric_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             "host.name": _name("host-", F.col("pk") % 3),
         }
     )
-    attributes = _attributes(
+    attributes = _members(
         {
             "session.id": F.col("session_id"),
             "user.account_uuid": F.col("user"),
@@ -447,34 +467,39 @@ def metric_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             "agent.name": F.col("agent_name"),
         }
     )
-    point = F.struct(
-        attributes.alias("attributes"),
-        F.col("ts_ns").cast("string").alias("timeUnixNano"),
-        F.when(F.col("name") != "cost.usage", F.col("value").cast("bigint").cast("string")).alias("asInt"),
-        F.when(F.col("name") == "cost.usage", F.col("value")).alias("asDouble"),
+    is_cost = F.col("name") == "cost.usage"
+    point = F.concat_ws(
+        ",",
+        F.concat(F.lit('"attributes":['), F.concat_ws(",", *attributes), F.lit("]")),
+        _string_member("timeUnixNano", F.col("ts_ns")),
+        _string_member("asInt", F.when(~is_cost, F.col("value").cast("bigint"))),
+        F.concat(F.lit('"asDouble":'), F.when(is_cost, _double_text(F.col("value")))),
+    )
+    metric = F.concat_ws(
+        ",",
+        _string_member("name", F.when(known, F.concat(F.lit("claude_code."), F.col("name"))).otherwise(F.col("name"))),
+        _string_member("unit", F.col("unit")),
+        F.concat(F.when(F.col("kind") == "counter", '"sum"').otherwise('"gauge"'), F.lit(':{"dataPoints":[{'), point, F.lit("}]}")),
     )
-    holder = F.struct(F.array(point).alias("dataPoints"))
-    metric = F.struct(
-        F.when(known, F.concat(F.lit("claude_code."), F.col("name"))).otherwise(F.col("name")).alias("name"),
-        F.col("unit").alias("unit"),
-        F.when(F.col("kind") == "counter", holder).alias("sum"),
-        F.when(F.col("kind") == "gauge", holder).alias("gauge"),
+    body = F.concat(
+        F.lit('{"resourceMetrics":[{"resource":{"attributes":['),
+        F.concat_ws(",", *resource),
+        F.lit(']},"scopeMetrics":[{"scope":{"name":"meter"},"metrics":[{'),
+        metric,
+        F.lit("}]}]}]}"),
     )
-    scope = F.struct(F.struct(F.lit("meter").alias("name")).alias("scope"), F.array(metric).alias("metrics"))
-    group = F.struct(F.struct(resource.alias("attributes")).alias("resource"), F.array(scope).alias("scopeMetrics"))
-    body = F.to_json(F.struct(F.array(group).alias("resourceMetrics")))
     return p.select("ok", "pk", body.alias("value"))
 
 
 def log_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One OTLP/JSON logs request per event: (i, value)."""
-    r = event_records(spark, sf_dir)
+    typed, record, dims, numbers = _event_columns(spark, sf_dir)
     names = F.create_map(*[F.lit(x) for pair in _EVENT_NAMES.items() for x in pair])
     vendor = F.concat(
         F.lit("claude_code."),
         F.coalesce(F.try_element_at(names, F.col("event_type")), F.col("event_type")),
     )
-    fixed = _attributes(
+    fixed = _members(
         {
             "event.name": vendor,
             "prompt.id": F.col("correlation_id"),
@@ -486,35 +511,29 @@ def log_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     # mcp_server and mcp_tool are derived by the adapter, so the request leaves them out.
-    sent = F.map_filter("dims", lambda k, _: ~k.isin("mcp_server", "mcp_tool"))
-    dims = F.transform(
-        F.map_entries(sent),
-        lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")),
+    sent = [f"dim_{k}" for k in dims if k not in ("mcp_server", "mcp_tool")]
+    counted = [f"num_{k}" for k in numbers]
+    rows = typed.select(
+        *record,
+        *[dims[c.removeprefix("dim_")].alias(c) for c in sent],
+        *[numbers[c.removeprefix("num_")].cast("double").alias(c) for c in counted],
     )
-    numbers = F.transform(
-        F.map_entries("numbers"),
-        lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("doubleValue")).alias("value")),
-    )
-    resource = _attributes({"service.name": _service(), "organization.id": F.col("org_id")})
-    # Three arrays of different value shapes cannot share one array type, so the
-    # request is assembled from their JSON texts.
+    members = [
+        *fixed,
+        *_members({c.removeprefix("dim_"): F.col(f"`{c}`") for c in sent}),
+        *_members({c.removeprefix("num_"): _double_text(F.col(c)) for c in counted}, "doubleValue"),
+    ]
+    resource = _members({"service.name": _service(), "organization.id": F.col("org_id")})
     body = F.concat(
-        F.lit('{"resourceLogs":[{"resource":{"attributes":'),
-        F.to_json(resource),
-        F.lit('},"scopeLogs":[{"scope":{"name":"events"},"logRecords":[{"timeUnixNano":"'),
+        F.lit('{"resourceLogs":[{"resource":{"attributes":['),
+        F.concat_ws(",", *resource),
+        F.lit(']},"scopeLogs":[{"scope":{"name":"events"},"logRecords":[{"timeUnixNano":"'),
         F.col("ts_ns").cast("string"),
-        F.lit('","severityNumber":9,"attributes":'),
-        _joined_json(F.to_json(fixed), F.to_json(dims), F.to_json(numbers)),
-        F.lit("}]}]}]}"),
+        F.lit('","severityNumber":9,"attributes":['),
+        F.concat_ws(",", *members),
+        F.lit("]}]}]}]}"),
     )
-    return r.select("i", body.alias("value"))
-
-
-def _joined_json(*arrays: Column) -> Column:
-    """One JSON array text out of several."""
-    inner = [F.substring(a, F.lit(2), F.length(a) - 2) for a in arrays]
-    parts = F.filter(F.array(*inner), lambda x: F.length(x) > 0)
-    return F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
+    return rows.select("i", body.alias("value"))
 
 
 # --- free text ------------------------------------------------------------------
