@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from checks import ingest_queries as q
 from tests.test_plans import plan
+from usagelake.functions import redaction as scan
+from usagelake.operators.redact import OrgPolicies, redact_fields
 from usagelake.schemas import ATTRIBUTES
 from usagelake.sources import testdata
 from usagelake.sources.otlp import flatten_anyvalue
@@ -43,3 +45,29 @@ def test_plain_and_other_lists_flatten_alike(spark):
     text = plan(flat, "simple")
     assert "map_from_arrays" in text
     assert {r.i: r.f for r in flat.collect()} == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_scanners_run_for_texts_with_a_hint(spark):
+    found = ["-----BEGIN X", "eyJ", "sk-", "ghp_", "gho_", "ghs_", "ghu_", "AKIA", "xox", "@", "1.2", "/home/a", "/Users/a", "a\\b"]
+    clean = ["", "plain words", "12", "1\n.\n2", "Bash"]
+    rows = spark.createDataFrame([(t,) for t in [*found, *clean]], "t STRING")
+    assert {r.t: r.f for r in rows.select("t", scan.may_find(F.col("t")).alias("f")).collect()} == dict.fromkeys(found, True) | dict.fromkeys(clean, False)
+
+
+def test_events_without_a_hint_keep_their_texts(spark):
+    events = [
+        (1, "o", {"a": "plain", "b": "x"}, {}),
+        (2, "o", {"a": "mail x@example.com"}, {"prompt": "see /home/someone/src"}),
+        (3, "o", {"a": "plain"}, {"prompt": "key sk-abcdefghijklmnop1234"}),
+        (4, "d", {"a": "plain"}, {}),
+        (5, "o", None, {"prompt": "x"}),
+    ]
+    rows = spark.createDataFrame(events, "i INT, org_id STRING, dims MAP<STRING,STRING>, staged_content MAP<STRING,STRING>")
+    got = {r.i: (r.dims, r.redaction_flags) for r in redact_fields(rows, OrgPolicies(deny_by_org={"d": ("plain",)})).collect()}
+    assert got[1] == ({"a": "plain", "b": "x"}, [])
+    assert got[2][0] != events[1][2] and len(got[2][1]) == 2
+    assert got[3][0] == {"a": "plain"} and len(got[3][1]) == 1
+    assert got[4][0] != {"a": "plain"} and len(got[4][1]) == 1
+    assert got[5][0] is None
+    shared = {r.i: r.redaction_flags for r in redact_fields(rows, OrgPolicies(deny_list=("plain",))).collect()}
+    assert len(shared[1]) == len(shared[4]) == 1

@@ -72,12 +72,20 @@ def _contains_any(text: Column, *needles: str) -> Column:
 # hold none, and a substring search costs far less than the expressions.
 
 
+_SECRET_HINTS = (("-----BEGIN ",), ("eyJ",), ("sk-",), ("ghp_", "gho_", "ghs_", "ghu_"), ("AKIA",), ("xox",))
+_PATH_HINTS = ("/Users/", "/home/", "\\")
+
+
+def may_find(text: Column) -> Column:
+    """Whether a text, or one of the texts it was joined of, holds the literal of any scanner but the deny list."""
+    return _contains_any(text, *[n for needles in _SECRET_HINTS for n in needles], *_PATH_HINTS, "@") | _ip_hint(text)
+
+
 def scan_secrets(text: Column) -> Column:
     """Run, one after the other, only the detectors whose literal occurs in the text."""
-    hints = (("-----BEGIN ",), ("eyJ",), ("sk-",), ("ghp_", "gho_", "ghs_", "ghu_"), ("AKIA",), ("xox",))
     detectors = [
         F.when(_contains_any(text, *needles), F.lit(java_pattern(pattern)))
-        for needles, pattern in zip(hints, fx.SECRET_PATTERNS, strict=True)
+        for needles, pattern in zip(_SECRET_HINTS, fx.SECRET_PATTERNS, strict=True)
     ]
     return F.aggregate(
         F.array_compact(F.array(*detectors)),
@@ -114,7 +122,7 @@ def scan_pii(text: Column) -> Column:
 def scan_paths(text: Column) -> Column:
     scrubbed = _replace(text, java_pattern(fx.UNIX_HOME_PATTERN), fx.PATH_TEXT)
     scrubbed = _replace(scrubbed, "(?i)" + java_pattern(fx.WINDOWS_HOME_PATTERN), fx.PATH_TEXT)
-    return F.when(_contains_any(text, "/Users/", "/home/", "\\"), scrubbed).otherwise(text)
+    return F.when(_contains_any(text, *_PATH_HINTS), scrubbed).otherwise(text)
 
 
 def deny_pattern(term: str) -> str:

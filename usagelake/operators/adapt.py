@@ -189,16 +189,12 @@ def adapt_events(records: DataFrame, pepper: str, adapters=DEFAULT_ADAPTERS) ->
 
     fields = F.col("_fields")
     server, tool = split_mcp_tool(entry(F.col("dims"), "tool_name"))
-    extra = F.array(
-        F.struct(F.lit("mcp_server").alias("key"), server.alias("value")),
-        F.struct(F.lit("mcp_tool").alias("key"), tool.alias("value")),
-        F.struct(
-            F.lit("event.name").alias("key"),
-            F.when(
-                (F.col("event_type") == fx.UNKNOWN_EVENT) & (F.length("event_name") > 0), F.col("event_name")
-            ).alias("value"),
-        ),
-    )
+    unlisted = F.when((F.col("event_type") == fx.UNKNOWN_EVENT) & (F.length("event_name") > 0), F.col("event_name"))
+    # A step before they are used: in a function with a lambda each use would work them out again.
+    extra = {"mcp_server": ("_server", server), "mcp_tool": ("_tool", tool), "event.name": ("_unlisted", unlisted)}
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).alias("value")) for k, (c, _) in extra.items()])
+    more = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    has_more = F.coalesce(*[c for c, _ in extra.values()]).isNotNull()
     return (
         merge_context(routed, pepper)
         .withColumns(
@@ -220,12 +216,10 @@ def adapt_events(records: DataFrame, pepper: str, adapters=DEFAULT_ADAPTERS) ->
                 "dims": F.map_filter(fields, lambda _, v: ~is_numeric(v)),
             }
         )
-        .withColumn(
-            "dims",
-            F.map_concat("dims", F.map_from_entries(F.filter(extra, lambda e: e["value"].isNotNull()))),
-        )
+        .withColumns(dict(extra.values()))
+        .withColumn("dims", F.when(has_more, F.map_concat("dims", more)).otherwise(F.col("dims")))
         .withColumn("attributes", empty)
-        .drop("_fields", "resource_attributes", "scope_name", "scope_version", "event_name", "body", "severity")
+        .drop("_fields", *[c for c, _ in extra.values()], "resource_attributes", "scope_name", "scope_version", "event_name", "body", "severity")
     )
 
 

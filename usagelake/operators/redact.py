@@ -74,11 +74,18 @@ class OrgPolicies:
             lambda scrubbed, pattern: F.regexp_replace(scrubbed, pattern, F.lit(scan.DENY_REPLACEMENT)),
         )
 
+    def is_clean(self, texts: Column) -> Column:
+        """True where no scanner can change any of the texts that ``texts`` holds; ``_policy`` must be attached."""
+        if any(self.deny_list):
+            return F.lit(False)
+        return (F.size("_policy.patterns") == 0) & ~scan.may_find(texts)
+
     def deny_hit(self, before: Column, after: Column) -> Column:
         return scan.deny_list_hit(before, after, self.deny_list) | (F.col("_policy.marks") & after.contains(fx.DENY_TEXT))
 
 
 _ENTRY = ("staged", "key")
+_ENTRIES = "array<struct<staged: boolean, key: string, text: string>>"
 
 
 def _step(entries: Column, build) -> Column:
@@ -100,10 +107,14 @@ def redact_fields(events: DataFrame, policies: OrgPolicies) -> DataFrame:
             lambda e: F.struct(F.lit(staged).alias("staged"), e["key"].alias("key"), e["value"].alias("text")),
         )
 
-    frame = policies.attach(events).withColumns(
+    # The scanners are interpreted text by text, so only events run them in whose texts one could find something.
+    attached = policies.attach(events).withColumn("_found", ~F.coalesce(policies.is_clean(_all_texts()), F.lit(False)))
+    frame = attached.withColumns(
         {
             "_staged": F.size("staged_content") > 0,
-            "_e": F.concat(tagged("dims", False), tagged("staged_content", True)),
+            "_e": F.when(F.col("_found"), F.concat(tagged("dims", False), tagged("staged_content", True))).otherwise(
+                F.array().cast(_ENTRIES)
+            ),
         }
     )
 
@@ -157,13 +168,25 @@ def redact_fields(events: DataFrame, policies: OrgPolicies) -> DataFrame:
     )
     flags = F.array_distinct(F.concat(raised(fx.FLAG_SECRET), pii, raised(fx.FLAG_PATH), raised(fx.FLAG_DENY)))
 
-    def rebuilt(staged: bool) -> Column:
+    def rebuilt(map_name: str, staged: bool) -> Column:
         chosen = F.filter(entries, lambda e: e["staged"] == F.lit(staged))
-        return F.map_from_entries(F.transform(chosen, lambda e: F.struct(e["key"], e["text"])))
+        scrubbed = F.map_from_entries(F.transform(chosen, lambda e: F.struct(e["key"], e["text"])))
+        return F.when(F.col("_found"), scrubbed).otherwise(F.col(map_name))
 
     return frame.withColumns(
-        {"redaction_flags": flags, "dims": rebuilt(False), "staged_content": rebuilt(True)}
-    ).drop("_e", "_policy")
+        {
+            "redaction_flags": F.when(F.col("_found"), flags).otherwise(_no_flags()),
+            "dims": rebuilt("dims", False),
+            "staged_content": rebuilt("staged_content", True),
+        }
+    ).drop("_e", "_policy", "_found")
+
+
+def _all_texts() -> Column:
+    """All texts of an event as one, NULL if it lacks a map."""
+    return F.concat(
+        F.array_join(F.map_values("dims"), "\n"), F.lit("\n"), F.array_join(F.map_values("staged_content"), "\n")
+    )
 
 
 def _no_flags() -> Column:
