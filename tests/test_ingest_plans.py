@@ -1,15 +1,18 @@
 """What ingestion has Spark interpret row by row, and how its work is shared by tasks."""
 
 import json
+from glob import glob
+from urllib.parse import urlparse
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from checks import ingest_queries as q
 from tests.test_plans import plan
 from usagelake.functions import redaction as scan
 from usagelake.operators.redact import OrgPolicies, redact_fields
-from usagelake.schemas import ATTRIBUTES
-from usagelake.sources import testdata
+from usagelake.schemas import ATTRIBUTES, METRIC_COLUMNS, METRICS
+from usagelake.sources import tables, testdata
 from usagelake.sources.otlp import flatten_anyvalue
 
 
@@ -71,3 +74,23 @@ def test_events_without_a_hint_keep_their_texts(spark):
     assert got[5][0] is None
     shared = {r.i: r.redaction_flags for r in redact_fields(rows, OrgPolicies(deny_list=("plain",))).collect()}
     assert len(shared[1]) == len(shared[4]) == 1
+
+
+def test_a_log_file_is_read_by_several_tasks(lake):
+    texts = F.concat(*[F.sha2(F.concat(F.col("id"), F.lit(f"-{k}")), 256) for k in range(10)])
+    log = q._log(lake, lake.spark.range(0, 120_000, 1, 1).select(F.lit("t").alias("topic"), F.lit("k").alias("key"), texts.alias("value")))
+    assert len(glob(f"{urlparse(log).path}/part-*.parquet")) == 1
+    tasks = q._read_log(lake, log).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 120_000
+
+
+def test_ids_are_stored_without_a_dictionary(spark, tmp_path):
+    types = dict(c.strip().split(" ", 1) for c in METRICS.replace("\n", " ").split(",") if " " in c.strip() and "<" not in c)
+    rows = spark.range(0, 1000, 1, 1).select(
+        *[(F.expr("DATE'2024-01-01'") if c == "event_date" else (F.col("id") % 5).cast("string") if c in ("dedup_id", "name") else F.lit(None).cast(types.get(c, "string"))).alias(c) for c in METRIC_COLUMNS]
+    )
+    tables.append_rows(rows, str(tmp_path / "t"), METRIC_COLUMNS)
+    (file,) = glob(f"{tmp_path}/t/*/*.parquet")
+    group = pq.ParquetFile(file).metadata.row_group(0)
+    encodings = {group.column(k).path_in_schema: group.column(k).encodings for k in range(group.num_columns)}
+    assert any("DICTIONARY" in e for e in encodings["name"]) and not any("DICTIONARY" in e for e in encodings["dedup_id"])
